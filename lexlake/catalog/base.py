@@ -7,6 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lexlake.operators.keyed import spread
+from lexlake.session import written
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +22,7 @@ class Entry:
 
 
 REGISTRY: dict[str, Entry] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
@@ -39,11 +44,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:  # reading a footer is a job, so do it once per table
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @property
     def v_rel(self) -> DataFrame:
-        line = self.lineitem.select("l_partkey", "l_suppkey")
+        line = spread(self.lineitem.select("l_partkey", "l_suppkey"))
         part = self.part.select("p_partkey", "p_name", "p_type")
         supplier = self.supplier.select("s_suppkey", "s_name")
         return (
@@ -70,6 +78,10 @@ class Tables:
             .select(F.concat_ws("||", "name", "pos", "lf").alias("group_id"), "name", "pos", "lf", "n_targets", "first_target")
         )
 
+    def groups_table(self) -> DataFrame:
+        """``v_groups`` written once, for operators that read their input more than once."""
+        return written(self.v_groups, "groups")
+
     @property
     def v_edges(self) -> DataFrame:
         line = self.lineitem.select("l_partkey", "l_suppkey").distinct()

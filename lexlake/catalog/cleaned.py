@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lexlake.catalog.base import Tables, query, with_views
 from lexlake.functions import arrays, text
 from lexlake.operators import joins
-from lexlake.operators.keyed import ordered_lists
+from lexlake.operators.keyed import ordered_lists, spread
+from lexlake.session import written
 from lexlake.operators.profile import filter_elements, frequent_keys, list_keys
 
 TRIM = "E' \\n\\t\\r'"
@@ -68,7 +69,7 @@ from pages p left join clean c on c.page_id = p.page_id and c.part <> '' group b
 
 @query("html_to_text", HTML_SQL)
 def html_to_text_query(t: Tables) -> DataFrame:
-    plain = t.pages.select("page_id", text.html_to_text(F.col("html")).alias("t"))
+    plain = spread(t.pages.select("page_id", "html")).select("page_id", text.html_to_text(F.col("html")).alias("t"))
     return plain.select(
         "page_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_text")
     )
@@ -191,7 +192,7 @@ select p.p_partkey as node_id, count(e.lf) as n_kept, coalesce(string_agg(concat
 from part p left join (select e.* from v_edges e join keep on keep.lf = e.lf) e on e.node_id = p.p_partkey group by p.p_partkey""",
 )
 def filter_elements_query(t: Tables) -> DataFrame:
-    nodes = nodes_with_lists(t)
+    nodes = written(nodes_with_lists(t), "nodes")
     keys = frequent_keys(list_keys(nodes, "lf_dict", "lexical_function", "lf"), "lf", FREQUENT).select("lf")
     kept = filter_elements(nodes, "lf_dict", "lexical_function", keys, ["node_id", "part_no"])
     shown = F.transform("lf_dict", lambda x: F.concat(x["lexical_function"], F.lit(">"), x["target"]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexlake.catalog.base import Tables, query, with_views
 from lexlake.functions import match, text
 from lexlake.operators import evaluate, scoring
-from lexlake.operators.keyed import lookup, sorted_sets
+from lexlake.operators.keyed import lookup, sorted_sets, spread
 
 
 @query(
@@ -19,7 +19,7 @@ select doc_id, concat(case when l > 0 then '...' else '' end, trim(substr(text,
   case when r < n_chars then '...' else '' end) as snippet from e""",
 )
 def kwic_query(t: Tables) -> DataFrame:
-    return t.v_occ.select("doc_id", text.kwic(F.col("text"), F.col("occurrence")).alias("snippet"))
+    return spread(t.v_occ.select("doc_id", "text", "occurrence")).select("doc_id", text.kwic(F.col("text"), F.col("occurrence")).alias("snippet"))
 
 
 @query(

@@ -66,9 +66,11 @@ def match_headers(t: Tables) -> DataFrame:
     "heat_matrix",
     with_views("v_eval")
     + """, scores as (select task_name, model, avg(is_correct) as score from v_eval group by all)
+, heads as (select w.model, min_by(concat('src', i), i) as head from (select distinct model from v_eval) w join range(20) r(i)
+  on contains(concat('src', i), w.model) or contains(w.model, concat('src', i)) group by w.model)
 select t.task_name as row_name, m.model as wanted, coalesce(round_even(s.score * 100, 2), 0.0) as value
-from (select distinct task_name from v_eval) t cross join (select distinct model from v_eval) m
-left join scores s on s.task_name = t.task_name and s.model = m.model""",
+from (select distinct task_name from v_eval) t cross join heads m
+left join scores s on s.task_name = t.task_name and s.model = m.head""",
 )
 def heat_matrix(t: Tables) -> DataFrame:
     """Report written as Markdown, read back, matched to the wanted names, as numbers."""

@@ -86,7 +86,7 @@ def trim_quotas_tight(t: Tables) -> DataFrame:
 select r.group_id, r.lf from ranked r join trimmed t on t.lf = r.lf where r.place <= t.quota""",
 )
 def stratified_take(t: Tables) -> DataFrame:
-    groups = t.v_groups
+    groups = t.groups_table()
     quotas = sampling.trim_quotas(sampling.class_quotas(groups, "lf", BUDGET, FLOOR), "lf", BUDGET)
     return sampling.stratified_take(groups, "lf", "group_id", quotas, SEED).select("group_id", "lf")
 
@@ -130,12 +130,12 @@ held as (select g.*, names.r <= round_even(names.n * 0.2, 0) as held from v_grou
 
 @query("holdout_unseen", with_views("v_groups") + HELD + "select group_id, name, held from held")
 def holdout_unseen(t: Tables) -> DataFrame:
-    return sampling.holdout_keys(t.v_groups, "name", 0.2, SEED).select("group_id", "name", "held")
+    return sampling.holdout_keys(t.groups_table(), "name", 0.2, SEED).select("group_id", "name", "held")
 
 
 @query("stratified_split", with_views("v_groups") + LABELLED + "select group_id, lf, split from labelled")
 def stratified_split(t: Tables) -> DataFrame:
-    return sampling.stratified_split(t.v_groups, "group_id", "lf", SEED).select("group_id", "lf", "split")
+    return sampling.stratified_split(t.groups_table(), "group_id", "lf", SEED).select("group_id", "lf", "split")
 
 
 @query(
@@ -147,7 +147,7 @@ def stratified_split(t: Tables) -> DataFrame:
 from (values ('train', 'val'), ('train', 'test'), ('val', 'test')) p(a, b)""",
 )
 def split_overlap(t: Tables) -> DataFrame:
-    return sampling.split_overlap(sampling.stratified_split(t.v_groups, "group_id", "lf", SEED), "group_id")
+    return sampling.split_overlap(sampling.stratified_split(t.groups_table(), "group_id", "lf", SEED), "group_id")
 
 
 @query(
@@ -157,7 +157,7 @@ def split_overlap(t: Tables) -> DataFrame:
     + "select split, lf, count(*) as n, round(count(*) / sum(count(*)) over (partition by split), 6) as share from labelled group by split, lf",
 )
 def split_profile(t: Tables) -> DataFrame:
-    split = sampling.stratified_split(t.v_groups, "group_id", "lf", SEED)
+    split = sampling.stratified_split(t.groups_table(), "group_id", "lf", SEED)
     return sampling.split_profile(split, "lf").withColumn("share", F.round("share", 6))
 
 

@@ -126,7 +126,7 @@ def split_write_counts(t: Tables) -> DataFrame:
     from lexlake.operators.sampling import stratified_split
 
     path = scratch_path(t.spark, "splits")
-    files.write_splits(stratified_split(t.v_groups, "group_id", "lf", seed=42), path)
+    files.write_splits(stratified_split(t.groups_table(), "group_id", "lf", seed=42), path)
     return files.read_splits(t.spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.functions.text import strip
-from lexlake.operators.keyed import fits, lookup
+from lexlake.operators.keyed import fits, lookup, spread
 from lexlake.session import written
 
 MAP_ROWS = 1000  # a dictionary up to this size is looked up inside the row
@@ -78,7 +78,7 @@ def self_lookup(
     dim = last_name_per_key(names, key, value, order).select(
         F.col(key).alias(ref), F.col(value).alias(name)
     )
-    return lookup(df, dim, [ref])
+    return lookup(df, written(dim, "names"), [ref])
 
 
 def with_conditions(df: DataFrame, *names: str) -> DataFrame:
@@ -133,26 +133,25 @@ def contain_join(
         F.when(F.size(inner) > 0, longest(inner)).otherwise(F.substring(edge, 1, 4)).alias("_anchor"),
         F.when(F.size(inner) > 0, F.lit(0)).otherwise(F.length(F.substring(edge, 1, 4))).alias("_kind"),
     )
-    kinds = anchors.agg(F.collect_set("_kind").alias("k")).scalar()  # at most five values
-    words = records.select(
-        F.col(row_id).alias("_rid"),
-        F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_RUNS), F.lit(1)))).alias("_w"),
-        kinds.alias("_kinds"),
+    anchors = written(anchors, "anchors")
+    kinds = sorted(r["_kind"] for r in anchors.select("_kind").distinct().collect())  # of 0 to 4
+    wide = any(kinds)  # only short targets need runs without letters and parts of runs
+    runs_of_text = F.regexp_extract_all(text, F.lit(_RUNS if wide else r"(\p{L}+)"), F.lit(1))
+    words = spread(records.select(F.col(row_id).alias("_rid"), F.col(text).alias(text))).select(
+        "_rid", F.explode(F.array_distinct(runs_of_text)).alias("_w")
     )
-    grams = F.flatten(
-        F.transform(
-            F.filter("_kinds", lambda k: (k > 0) & (k <= F.length("_w"))),
-            lambda k: F.transform(
-                F.sequence(F.lit(1), F.length("_w") - k + 1),
-                lambda i: F.struct(F.substring("_w", i, k).alias("_anchor"), k.alias("_kind")),
-            ),
+    keys = None
+    for kind in kinds:
+        places = F.sequence(F.lit(1), F.length("_w") - kind + 1)
+        grams = F.when(
+            F.length("_w") >= kind,
+            F.array_distinct(F.transform(places, lambda i, k=kind: F.substring("_w", i, F.lit(k)))),
         )
-    )
-    whole = F.filter(
-        F.array(F.struct(F.col("_w").alias("_anchor"), F.lit(0).alias("_kind"))),
-        lambda s: F.array_contains("_kinds", s["_kind"]),
-    )
-    keys = words.select("_rid", F.inline(F.concat(whole, grams)))
+        anchor = F.col("_w") if kind == 0 else F.explode(grams)
+        some = words.select("_rid", anchor.alias("_anchor"), F.lit(kind).alias("_kind"))
+        keys = some if keys is None else keys.unionByName(some)
+    if keys is None:
+        keys = words.select("_rid", F.col("_w").alias("_anchor"), F.lit(0).alias("_kind"))
     near = lookup(keys, anchors.select("_anchor", "_kind", "_tid"), ["_anchor", "_kind"], how="inner")
     pairs = written(near.select("_rid", "_tid").distinct(), "contain-pairs")
     texts = records.select(F.col(row_id).alias("_rid"), F.col(text).alias("_text"))
@@ -167,11 +166,15 @@ def contain_join(
 def duplicate_content(df: DataFrame, row_id: str, content: str) -> DataFrame:
     """Rows whose content was seen under a smaller id, with that first id.
 
-    Only (hash, id) moves; the first ids are a partial aggregate, joined back so
-    that a content copied a billion times is spread (see ``lookup``).
+    The content is read once, to write (id, hash). The first ids are a partial
+    aggregate of that, joined back so that a content copied a billion times is
+    spread (see ``lookup``).
     """
-    hashed = df.where(F.col(content).isNotNull()).select(
-        F.col(row_id), F.md5(F.col(content)).alias("content_md5")
+    hashed = written(
+        df.where(F.col(content).isNotNull()).select(
+            F.col(row_id), F.md5(F.col(content)).alias("content_md5")
+        ),
+        "hashes",
     )
     firsts = (
         hashed.groupBy("content_md5")
@@ -179,7 +182,7 @@ def duplicate_content(df: DataFrame, row_id: str, content: str) -> DataFrame:
         .where(F.col("_n") > 1)
         .select("content_md5", "first_id")
     )
-    return lookup(hashed, firsts, ["content_md5"], how="inner").where(
+    return lookup(hashed, written(firsts, "firsts"), ["content_md5"], how="inner").where(
         F.col(row_id) > F.col("first_id")
     )
 

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from lexlake.session import written
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 500_000
 LIST_ROWS = 100_000
 HOT_SHARE = 0.001
+SALTS = 97
 
 
 def fits(df: DataFrame, rows: int | None = None) -> bool:
@@ -46,33 +47,52 @@ def lookup(
 ) -> DataFrame:
     """Join ``df`` with ``dim`` on equally named columns; ``how`` is left or inner.
 
-    A small ``dim`` is broadcast. A larger one is shuffled, except that rows of
-    hot keys take a side path: their ``dim`` rows are broadcast (bounded, see
-    ``hot_keys``) and they never reach the shuffle of the other keys.
+    A small ``dim`` is broadcast. A larger one is shuffled, except for the hot
+    keys: their ``dim`` rows are broadcast (bounded, see ``hot_keys``), and their
+    rows get a salt that spreads them over the shuffle without matching anything
+    there. With several ``dim`` rows per hot key these are repeated per salt.
     """
     on = list(on)
     if fits(dim, rows):
         return df.join(F.broadcast(dim), on, how)
-    hot = written(hot_keys(df, on), "hot").withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), on, "left")
-    hot_dim = dim.join(F.broadcast(hot.drop("_hot")), on, "left_semi")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot").join(dim, on, how)
-    heavy = marked.where(F.col("_hot")).drop("_hot")
-    per_key = hot_dim.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    if per_key.where(F.col("_n") > 1).limit(1).count() == 0:
-        warm = heavy.join(F.broadcast(hot_dim), on, how)
-    else:
-        warm = _spread_join(heavy, hot_dim, on, how)
-    return cold.unionByName(warm)
+    hot = written(hot_keys(df, on), "hot")
+    hot_dim = dim.join(F.broadcast(hot), on, "left_semi")
+    if not _over(hot_dim, on, 1).isEmpty():
+        return _repeat_join(df, dim, hot, on, how)
+    fields = [c for c in dim.columns if c not in on]
+    kept = hot_dim.select(*on, F.struct(*fields, F.lit(1).alias("_one")).alias("_side"))
+    marked = hot.join(kept, on, "left").select(*on, F.struct("_side").alias("_hot"))
+    found = df.join(F.broadcast(marked), on, "left").withColumn("_salt", _salt(F.col("_hot").isNotNull()))
+    cold = dim.select(*on, F.lit(0).alias("_salt"), F.struct(*fields, F.lit(1).alias("_one")).alias("_dim"))
+    both = found.join(cold, [*on, "_salt"], "left").withColumn(
+        "_dim", F.coalesce(F.col("_hot._side"), F.col("_dim"))
+    )
+    if how == "inner":
+        both = both.where(F.col("_dim._one") == 1)
+    rest = [c for c in df.columns if c not in on]
+    return both.select(*on, *rest, *[F.col(f"_dim.`{c}`").alias(c) for c in fields])
+
+
+def _salt(hot: Column) -> Column:
+    spread_over = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int") + 1
+    return F.when(hot, spread_over).otherwise(F.lit(0))
 
 
-def _spread_join(df: DataFrame, dim: DataFrame, on: list[str], how: str, salts: int = 64) -> DataFrame:
-    """Hot keys with several rows on the other side too: salt one, repeat the other."""
-    left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def _repeat_join(df: DataFrame, dim: DataFrame, hot: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Salt the rows of hot keys, and repeat the other side's rows of these keys per salt."""
+    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    left = df.join(flagged, on, "left").withColumn("_salt", _salt(F.col("_hot").isNotNull())).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    right = dim.join(flagged, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core for a table that comes in far fewer splits; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def ordered_lists(
     df: DataFrame,
     keys: Sequence[str],
@@ -91,9 +111,7 @@ def ordered_lists(
     rows = LIST_ROWS if rows is None else rows
     keys = list(keys)
     base = df.select(*keys, F.col(position).cast("long").alias("_p"), value.alias("_v"))
-    long_keys = (
-        base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select(*keys)
-    )
+    long_keys = _over(base, keys, rows).select(*keys)
     parted = _with_part(base, long_keys, keys, F.floor(F.col("_p") / F.lit(rows)))
     packed = parted.groupBy(*keys, "part_no").agg(
         F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_l")
@@ -115,22 +133,30 @@ def sorted_sets(
     """
     rows = LIST_ROWS if rows is None else rows
     keys = list(keys)
-    base = df.select(*keys, F.col(value).alias("_v")).dropna(subset=[*keys, "_v"]).distinct()
-    long_keys = (
-        base.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows)
-        .select(*keys, (F.lit(2) * F.ceil(F.col("_n") / F.lit(rows))).cast("long").alias("_parts"))
-    )
-    parted = _with_part(base, long_keys, keys, F.pmod(F.xxhash64("_v"), F.col("_parts")))
-    return parted.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_list("_v")).alias(name))
+    base = df.select(*keys, F.col(value).alias("_v")).dropna(subset=[*keys, "_v"])
+    # Plain row counts are enough to rule almost all keys out without a distinct.
+    crowded = _over(base, keys, rows).select(*keys)
+    if crowded.isEmpty():
+        single = base.distinct().withColumn("part_no", F.lit(0).cast("long"))
+    else:
+        crowded = written(crowded, "crowded")
+        sizes = _over(lookup(base, crowded, keys, how="inner").distinct(), keys, rows)
+        parts = (F.lit(2) * F.ceil(F.col("_n") / F.lit(rows))).cast("long").alias("_parts")
+        single = _with_part(
+            base.distinct(), sizes.select(*keys, parts), keys, F.pmod(F.xxhash64("_v"), F.col("_parts"))
+        )
+    return single.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_list("_v")).alias(name))
+
+
+def _over(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
 
 
 def _with_part(base: DataFrame, long_keys: DataFrame, keys: list[str], part: Column) -> DataFrame:
     """Add ``part_no``: 0 for ordinary keys, ``part`` for the long ones."""
-    long_keys = written(long_keys, "long-keys")
-    if long_keys.limit(1).count() == 0:
+    if long_keys.isEmpty():
         return base.withColumn("part_no", F.lit(0).cast("long"))
+    long_keys = written(long_keys, "long-keys")
     marked = lookup(base, long_keys.withColumn("_long", F.lit(True)), keys)
     return marked.withColumn(
         "part_no", F.when(F.col("_long"), part).otherwise(F.lit(0)).cast("long")

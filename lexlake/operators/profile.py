@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.operators.keyed import fits, lookup
+from lexlake.session import written
 
 
 def value_counts(df: DataFrame, *cols: str) -> DataFrame:
@@ -67,7 +68,7 @@ def combination_counts(
     with a huge number of rows still has at most one pair per frequent value.
     It is written out in full only for the ``top`` rows of the result.
     """
-    keep = frequent_keys(df, col, at_least).select(col)
+    keep = written(frequent_keys(df, col, at_least).select(col), "keys")
     pairs = df.where(F.col(item).isNotNull()).groupBy(item, col).agg(F.count(F.lit(1)).alias("times"))
     kept = lookup(pairs, keep, [col], how="inner")
     combos = kept.groupBy(item).agg(
@@ -127,7 +128,7 @@ def length_summary(df: DataFrame, length: Column) -> DataFrame:
     return counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
         (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("len", 0.5, "n").alias("median"),
+        F.percentile("len", 0.5, F.col("n")).alias("median"),
         F.max("len").alias("max"),
         F.min("len").alias("min"),
     )
@@ -152,6 +153,7 @@ def filter_elements(
     a long one by a join of the exploded elements, put back by ``row_id``.
     """
     key = keys.columns[0]
+    keys = written(keys, "keys")
     items = F.coalesce(F.col(array), F.array().cast(df.schema[array].dataType))
     if fits(keys, rows):
         allowed = keys.agg(F.collect_set(key).alias("a")).scalar()

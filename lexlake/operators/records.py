@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions.text import strip
-from lexlake.operators.keyed import LIST_ROWS, lookup, ordered_lists
+from lexlake.operators.keyed import LIST_ROWS, lookup, ordered_lists, spread
 from lexlake.operators.sampling import PREFIX
 from lexlake.operators.scoring import tokens_of
 from lexlake.session import written
@@ -71,7 +71,8 @@ def build_vocab(df: DataFrame, text: str) -> DataFrame:
     (n, cell), places from a window inside one cell.
     """
     counts = written(
-        df.select(F.explode(tokens_of(F.col(text))).alias("token"))
+        spread(df.select(text))
+        .select(F.explode(tokens_of(F.col(text))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n")),
         "token-counts",
@@ -88,9 +89,10 @@ def build_vocab(df: DataFrame, text: str) -> DataFrame:
         "n", "cell", (F.col("a") + F.col("b")).alias("start")
     )
     place = F.row_number().over(Window.partitionBy("n", "cell").orderBy("h"))
-    return counts.join(starts, ["n", "cell"]).select(
+    numbered = counts.join(starts, ["n", "cell"]).select(
         "token", "n", (F.col("start") + place - 1 + F.lit(FIRST_WORD_ID)).cast("int").alias("id")
     )
+    return written(numbered, "vocabulary")
 
 
 def encode(
@@ -101,7 +103,7 @@ def encode(
     The cut comes before the join, so a long text sends no more than ``max_len``
     tokens; common tokens are spread (see ``lookup``).
     """
-    words = df.select(
+    words = spread(df.select(row_id, text)).select(
         row_id, F.posexplode(F.slice(tokens_of(F.col(text)), 1, max_len)).alias("p", "token")
     )
     ids = lookup(words, vocab.select("token", "id"), ["token"])

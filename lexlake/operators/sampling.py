@@ -136,6 +136,7 @@ def stratified_take(
 ) -> DataFrame:
     """A seeded sample of min(class size, quota) rows per class; ``row_id`` is unique in a class."""
     hashed = df.withColumn("_h", seeded_hash(seed, row_id))
+    quotas = written(quotas.select(key, "quota"), "quotas")
     ranks = quotas.select(key, F.lit(0).alias("cut"), F.col("quota").alias("r"))
     cuts = hash_cuts(hashed, [key], "_h", ranks).select(key, "bound")
     return lookup(hashed, cuts, [key], how="inner").where(F.col("_h") <= F.col("bound")).drop(

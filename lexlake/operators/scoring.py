@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlake.operators.keyed import lookup
+from lexlake.operators.keyed import fits, lookup, spread
 from lexlake.session import written
 
 BLOCK_ROWS = 1000
@@ -44,6 +44,7 @@ def best_candidate(
     blocks, never rows x candidates. ``score`` gets one candidate as a struct
     column with the pool's fields and may use the columns of ``rows``.
     """
+    pool = written(pool, "candidates")
     sizes = pool.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks"))
     numbered = pool.join(sizes, group).withColumn(
         "_block", F.pmod(F.xxhash64(candidate), F.col("_blocks"))
@@ -92,7 +93,7 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 def unigram_model(df: DataFrame, label: str, text: str) -> DataFrame:
     """Token counts per class."""
-    words = df.dropna(subset=[label]).select(label, F.explode(tokens_of(F.col(text))).alias("token"))
+    words = spread(df.dropna(subset=[label]).select(label, text)).select(label, F.explode(tokens_of(F.col(text))).alias("token"))
     return words.groupBy(label, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -100,9 +101,10 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
     """Mean add-one log probability of each row's tokens under every class of ``model``.
 
     Only (token, class) pairs that exist are joined; a pair that does not is the
-    class's constant for unseen tokens, added by token count. So a row is never
-    multiplied by the classes, and common tokens are spread (see ``lookup``).
-    Gives the best class and its score; the smallest label on ties.
+    class's constant for unseen tokens, added by token count. A vocabulary that
+    can be broadcast is met in the scan, and the sums per row combine there; a
+    larger one is joined with common tokens spread (see ``lookup``). Gives the
+    best class and its score; the smallest label on ties.
     """
     model = written(model, "unigrams")
     vocabulary = model.select("token").distinct().agg(F.count(F.lit(1)).alias("v")).scalar()
@@ -111,30 +113,36 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
         F.log(F.lit(1.0) / (F.col("total") + vocabulary)).alias("unseen"),
     )
     table = classes.agg(F.array_sort(F.collect_list(F.struct("label", "unseen"))).alias("c")).scalar()
-    gains = model.groupBy("token").agg(
-        F.collect_list(F.struct(F.col(label).alias("label"), F.log(F.col("n") + 1.0).alias("gain"))).alias("gains")
+    gain = F.struct(F.col(label).alias("label"), F.log(F.col("n") + 1.0).alias("gain"))
+    gains = written(model.groupBy("token").agg(F.collect_list(gain).alias("gains")), "gains")
+    counted = spread(rows.select(row_id, text)).select(
+        row_id, F.explode(tokens_of(F.col(text))).alias("token"), F.lit(1).alias("n")
     )
-    tokens = tokens_of(F.col(text))
-    counted = (
-        rows.select(row_id, F.explode(tokens).alias("token"))
-        .groupBy(row_id, "token")
-        .agg(F.count(F.lit(1)).alias("n"))
+    if not fits(gains):  # tokens will be shuffled: combine repeated ones first
+        counted = written(
+            counted.groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("n")), "row-tokens"
+        )
+    # The entry without a label carries the token count of the row.
+    size = F.array(F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("gain")))
+    parts = lookup(counted, gains, ["token"]).select(
+        row_id, "n", F.inline(F.concat(size, F.coalesce("gains", F.array())))
     )
-    joined = lookup(counted, gains, ["token"])
     sums = (
-        joined.select(row_id, "n", F.explode_outer("gains").alias("g"))
-        .select(row_id, F.col("g.label").alias("label"), (F.col("n") * F.col("g.gain")).alias("gain"))
-        .groupBy(row_id, "label")
-        .agg(F.sum("gain").alias("gain"))
+        parts.groupBy(row_id, "label")
+        .agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
         .groupBy(row_id)
         .agg(
+            F.max(F.when(F.col("label").isNull(), F.col("gain"))).cast("long").alias("n_tokens"),
             F.map_from_entries(
                 F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "gain")))
-            ).alias("gains")
+            ).alias("gains"),
         )
     )
-    sized = rows.select(*rows.columns, F.size(tokens).cast("long").alias("n_tokens"))
-    full = sized.join(sums, row_id, "left").withColumn("_classes", table)
+    full = (
+        rows.join(sums, row_id, "left")
+        .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
+        .withColumn("_classes", table)
+    )
     mean = lambda c: F.when(
         F.col("n_tokens") > 0,
         c["unseen"] + F.coalesce(F.try_element_at("gains", c["label"]), F.lit(0.0)) / F.col("n_tokens"),

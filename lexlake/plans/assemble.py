@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexlake.functions.text import clean_definition, concat_nullable, extract_elements, html_to_text
 from lexlake.operators.joins import decode, decode_list, self_lookup
@@ -13,13 +12,22 @@ from lexlake.sources.files import read_delimited
 from lexlake.sources.markup import markup_dictionary, read_markup
 
 # Table layouts of the lexical network files.
-NODES = T._parse_datatype_string("id string, entry string, lexnum string, status int, `%` double")
-ENTRIES = T._parse_datatype_string("id string, addtoname string, name string")
-GRAMMAR = T._parse_datatype_string("node string, usagenote string, usagenotevars string, POS string")
-DEFINITIONS = T._parse_datatype_string("node string, def_HTML string, def_XML string")
-EDGES = T._parse_datatype_string("source string, lf string, target string")
-EXAMPLES = T._parse_datatype_string("id string, status string, content string")
-EXAMPLE_LINKS = T._parse_datatype_string("node string, example string, occurrence string, position int")
+NODES = "id string, entry string, lexnum string, status int, `%` double"
+ENTRIES = "id string, addtoname string, name string"
+GRAMMAR = "node string, usagenote string, usagenotevars string, POS string"
+DEFINITIONS = "node string, def_HTML string, def_XML string"
+EDGES = "source string, lf string, target string"
+EXAMPLES = "id string, status string, content string"
+EXAMPLE_LINKS = "node string, example string, occurrence string, position int"
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Add ``pos``, the place in the file, unless the table brings it.
+
+    Row ids follow the file only for a table read from one file; tables in many
+    files must carry ``pos`` themselves.
+    """
+    return df if "pos" in df.columns else df.withColumn("pos", F.monotonically_increasing_id())
 
 
 def node_names(nodes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -38,7 +46,7 @@ def relation_lists(edges: DataFrame, names: DataFrame, relations: DataFrame) ->
 
     An unknown relation or target id keeps its row with a null name.
     """
-    placed = edges.withColumn("_pos", F.monotonically_increasing_id())
+    placed = in_file_order(edges)
     order = names.select("node_id", "name", F.monotonically_increasing_id().alias("_row"))
     named = self_lookup(placed, "target", order, "node_id", "name", "_row", "target_name")
     dim = relations.select(
@@ -48,18 +56,16 @@ def relation_lists(edges: DataFrame, names: DataFrame, relations: DataFrame) ->
     item = F.struct(
         F.col("lf_name").alias("lexical_function"), F.col("linktype"), F.col("target_name").alias("target")
     )
-    return ordered_lists(full, ["source"], "_pos", item, "lf_dict").withColumnRenamed("source", "node_id")
+    return ordered_lists(full, ["source"], "pos", item, "lf_dict").withColumnRenamed("source", "node_id")
 
 
 def example_lists(links: DataFrame, examples: DataFrame, last_position: int = 2) -> DataFrame:
     """Per node the first examples as (text, occurrence, position), in file order."""
     texts = examples.select(F.col("id").alias("example"), html_to_text(F.col("content")).alias("text"))
-    near = links.withColumn("_pos", F.monotonically_increasing_id()).where(
-        F.col("position") <= last_position
-    )
+    near = in_file_order(links).where(F.col("position") <= last_position)
     item = F.struct("text", "occurrence", "position")
     return ordered_lists(
-        near.join(texts, "example", "left"), ["node"], "_pos", item, "examples"
+        near.join(texts, "example", "left"), ["node"], "pos", item, "examples"
     ).withColumnRenamed("node", "node_id")
 
 

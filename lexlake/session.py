@@ -28,12 +28,16 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
-            builder = builder.config("spark.driver.bindAddress", "127.0.0.1").config(
-                "spark.driver.host", "127.0.0.1"
+            # Small local shuffles would otherwise be merged into one or two tasks.
+            builder = (
+                builder.config("spark.driver.bindAddress", "127.0.0.1")
+                .config("spark.driver.host", "127.0.0.1")
+                .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
             )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -19,7 +19,7 @@ _CSV = {
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", multiline: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t", multiline: bool = True
 ) -> DataFrame:
     """Delimited text with a header and a given schema; only the empty cell is null.
 
