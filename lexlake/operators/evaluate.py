@@ -160,22 +160,18 @@ def token_f1(df: DataFrame, row_id: str, prediction: str, truth: str) -> DataFra
         tokens(F.col(prediction)).alias("_p"),
         tokens(F.col(truth)).alias("_t"),
     )
+    word = lambda side: lambda x: F.struct(x.alias("_w"), F.lit(side).alias("_side"))
     tagged = both.select(
         row_id,
-        F.inline_outer(
-            F.concat(
-                F.transform("_p", lambda x, i: F.struct(x.alias("w"), i.alias("i"), F.lit(1).alias("side"))),
-                F.transform("_t", lambda x, i: F.struct(x.alias("w"), i.alias("i"), F.lit(0).alias("side"))),
-            )
-        ),
+        F.inline_outer(F.concat(F.transform("_p", word(1)), F.transform("_t", word(0)))),
     )
-    per_word = tagged.groupBy(row_id, "w").agg(
-        F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 0).alias("b")
+    per_word = tagged.groupBy(row_id, "_w").agg(
+        F.count_if(F.col("_side") == 1).alias("_a"), F.count_if(F.col("_side") == 0).alias("_b")
     )
     sums = per_word.groupBy(row_id).agg(
-        F.sum(F.least("a", "b")).alias("common"),
-        F.sum("a").alias("n_pred"),
-        F.sum("b").alias("n_true"),
+        F.sum(F.least("_a", "_b")).alias("common"),
+        F.sum("_a").alias("n_pred"),
+        F.sum("_b").alias("n_true"),
     )
     precision = F.col("common") / F.col("n_pred")
     recall = F.col("common") / F.col("n_true")

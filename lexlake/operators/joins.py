@@ -142,12 +142,7 @@ def contain_join(
     )
     keys = None
     for kind in kinds:
-        places = F.sequence(F.lit(1), F.length("_w") - kind + 1)
-        grams = F.when(
-            F.length("_w") >= kind,
-            F.array_distinct(F.transform(places, lambda i, k=kind: F.substring("_w", i, F.lit(k)))),
-        )
-        anchor = F.col("_w") if kind == 0 else F.explode(grams)
+        anchor = F.col("_w") if kind == 0 else F.explode(_grams(F.col("_w"), kind))
         some = words.select("_rid", anchor.alias("_anchor"), F.lit(kind).alias("_kind"))
         keys = some if keys is None else keys.unionByName(some)
     if keys is None:
@@ -163,6 +158,13 @@ def contain_join(
     )
 
 
+def _grams(word: Column, size: int) -> Column:
+    """Distinct parts of ``size`` characters; null for a shorter word."""
+    places = F.sequence(F.lit(1), F.length(word) - size + 1)
+    parts = F.transform(places, lambda i: F.substring(word, i, F.lit(size)))
+    return F.when(F.length(word) >= size, F.array_distinct(parts))
+
+
 def duplicate_content(df: DataFrame, row_id: str, content: str) -> DataFrame:
     """Rows whose content was seen under a smaller id, with that first id.
 

@@ -63,7 +63,9 @@ def lookup(
     kept = hot_dim.select(*on, F.struct(*fields, F.lit(1).alias("_one")).alias("_side"))
     marked = hot.join(kept, on, "left").select(*on, F.struct("_side").alias("_hot"))
     found = df.join(F.broadcast(marked), on, "left").withColumn("_salt", _salt(F.col("_hot").isNotNull()))
-    cold = dim.select(*on, F.lit(0).alias("_salt"), F.struct(*fields, F.lit(1).alias("_one")).alias("_dim"))
+    # Always 0, but not as a literal: Catalyst would take that out of the join keys.
+    zero = F.pmod(F.monotonically_increasing_id(), F.lit(1)).cast("int")
+    cold = dim.select(*on, zero.alias("_salt"), F.struct(*fields, F.lit(1).alias("_one")).alias("_dim"))
     both = found.join(cold, [*on, "_salt"], "left").withColumn(
         "_dim", F.coalesce(F.col("_hot._side"), F.col("_dim"))
     )

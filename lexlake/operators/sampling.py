@@ -37,34 +37,34 @@ def hash_cuts(rows: DataFrame, keys: Sequence[str], hash_col: str, ranks: DataFr
     Without keys ``ranks`` is one row with cut 0.
     """
     keys = list(keys)
-    slim = rows.select(*keys, F.col(hash_col).alias("h")).withColumn(
-        "cell", F.substring("h", 1, PREFIX)
+    slim = rows.select(*keys, F.col(hash_col).alias("_h")).withColumn(
+        "_cell", F.substring("_h", 1, PREFIX)
     )
-    cells = slim.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = slim.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     # Bounded window: at most 16**PREFIX cells per key.
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell"))
-    cells = cells.withColumn("upto", upto)
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell"))
+    cells = cells.withColumn("_upto", upto)
     wanted = ranks.select(*keys, "cut", F.col("r").cast("long").alias("r"))
     if keys:
         on = cells.join(wanted, keys)
     else:
         on = cells.select("*", F.lit(0).alias("cut"), ranks.select("r").scalar().alias("r"))
-    hit = on.where((F.col("r") <= F.col("upto")) & (F.col("r") > F.col("upto") - F.col("n"))).select(
-        *keys, "cell", "cut", (F.col("r") - F.col("upto") + F.col("n")).alias("left")
+    hit = on.where((F.col("r") <= F.col("_upto")) & (F.col("r") > F.col("_upto") - F.col("_n"))).select(
+        *keys, "_cell", "cut", (F.col("r") - F.col("_upto") + F.col("_n")).alias("_left")
     )
     hit = written(hit, "cut-cells")
-    inside = lookup(slim, hit, [*keys, "cell"], how="inner")
+    inside = lookup(slim, hit, [*keys, "_cell"], how="inner")
     # Bounded window: the rows of one cell, about 1/65,536 of a class.
-    place = F.row_number().over(Window.partitionBy(*keys, "cell", "cut").orderBy("h"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_cell", "cut").orderBy("_h"))
     bounds = (
-        inside.withColumn("place", place)
-        .where(F.col("place") == F.col("left"))
-        .select(*keys, "cut", F.col("h").alias("found"))
+        inside.withColumn("_place", place)
+        .where(F.col("_place") == F.col("_left"))
+        .select(*keys, "cut", F.col("_h").alias("_found"))
     )
     full = wanted.join(bounds, [*keys, "cut"], "left").select(
         *keys,
         "cut",
-        F.when(F.col("r") < 1, F.lit("")).otherwise(F.coalesce("found", F.lit("g"))).alias("bound"),
+        F.when(F.col("r") < 1, F.lit("")).otherwise(F.coalesce("_found", F.lit("g"))).alias("bound"),
     )
     return written(full, "cuts")
 

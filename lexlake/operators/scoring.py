@@ -135,7 +135,7 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
             F.max(F.when(F.col("label").isNull(), F.col("gain"))).cast("long").alias("n_tokens"),
             F.map_from_entries(
                 F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "gain")))
-            ).alias("gains"),
+            ).alias("_gains"),
         )
     )
     full = (
@@ -145,7 +145,7 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
     )
     mean = lambda c: F.when(
         F.col("n_tokens") > 0,
-        c["unseen"] + F.coalesce(F.try_element_at("gains", c["label"]), F.lit(0.0)) / F.col("n_tokens"),
+        c["unseen"] + F.coalesce(F.try_element_at("_gains", c["label"]), F.lit(0.0)) / F.col("n_tokens"),
     ).otherwise(F.lit(NO_SCORE))
     ranked = F.transform(
         "_classes", lambda c, i: F.struct(mean(c).alias("score"), (-i).alias("o"), c["label"].alias("label"))
