@@ -7,6 +7,7 @@ from lexlake.catalog.base import Tables, query, with_views
 from lexlake.functions import match, text
 from lexlake.operators import evaluate, scoring
 from lexlake.operators.keyed import lookup, sorted_sets, spread
+from lexlake.session import written
 
 
 @query(
@@ -42,7 +43,7 @@ def answers_with_targets(t: Tables) -> DataFrame:
     lists = sorted_sets(
         t.v_answer_targets.select("p_brand", F.lower("target").alias("target")), ["p_brand"], "target", "targets"
     )
-    return lookup(t.v_answers, lists, ["p_brand"])
+    return lookup(t.v_answers, written(lists, "targets"), ["p_brand"])
 
 
 def per_row(df: DataFrame, *metrics: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexlake.session import written
 
 BROADCAST_ROWS = 500_000
-LIST_ROWS = 100_000
+LIST_ROWS = 10_000
 HOT_SHARE = 0.001
 SALTS = 97
 
@@ -102,23 +102,31 @@ def ordered_lists(
     value: Column,
     name: str = "items",
     rows: int | None = None,
+    mark_last: bool = False,
 ) -> DataFrame:
     """One row per key and part with ``value`` in the order of ``position``.
 
     ``position`` is a non-negative whole number, unique within a key. Keys with
     at most ``rows`` rows give a single part 0. Longer keys are cut by position
     range, so that a part never holds more than ``rows`` items and the parts in
-    ``part_no`` order are the whole list.
+    ``part_no`` order are the whole list. ``mark_last`` adds the flag ``last``.
     """
     rows = LIST_ROWS if rows is None else rows
     keys = list(keys)
     base = df.select(*keys, F.col(position).cast("long").alias("_p"), value.alias("_v"))
-    long_keys = _over(base, keys, rows).select(*keys)
+    long_keys = (
+        base.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.floor(F.max("_p") / F.lit(rows)).alias("_end"))
+        .where(F.col("_n") > rows)
+        .select(*keys, "_end")
+    )
     parted = _with_part(base, long_keys, keys, F.floor(F.col("_p") / F.lit(rows)))
+    is_last = F.col("part_no") == F.coalesce("_end", F.lit(0)) if "_end" in parted.columns else F.lit(True)
     packed = parted.groupBy(*keys, "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_l")
+        F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_l"), F.bool_and(is_last).alias("last")
     )
-    return packed.select(*keys, "part_no", F.transform("_l", lambda x: x["_v"]).alias(name))
+    shown = packed.select(*keys, "part_no", F.transform("_l", lambda x: x["_v"]).alias(name), "last")
+    return shown if mark_last else shown.drop("last")
 
 
 def sorted_sets(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions.text import strip
-from lexlake.operators.keyed import LIST_ROWS, lookup, ordered_lists, spread
+from lexlake.operators.keyed import LIST_ROWS, fits, lookup, ordered_lists, spread
 from lexlake.operators.sampling import PREFIX
 from lexlake.operators.scoring import tokens_of
 from lexlake.session import written
@@ -51,10 +51,8 @@ def render_conversation(
     ``part_no`` order they are the whole text, and only the last has the cue.
     """
     turns = F.format_string(TURN, F.col(role), F.col(text))
-    lists = ordered_lists(df, [conv], turn, turns, "turns", rows)
-    ends = lists.groupBy(conv).agg(F.max("part_no").alias("_last"))
-    parts = lists.join(ends, conv)
-    cue = F.when(F.col("part_no") == F.col("_last"), F.lit(CUE)).otherwise(F.lit(""))
+    parts = ordered_lists(df, [conv], turn, turns, "turns", rows, mark_last=True)
+    cue = F.when(F.col("last"), F.lit(CUE)).otherwise(F.lit(""))
     return parts.select(
         conv,
         "part_no",
@@ -106,7 +104,10 @@ def encode(
     words = spread(df.select(row_id, text)).select(
         row_id, F.posexplode(F.slice(tokens_of(F.col(text)), 1, max_len)).alias("p", "token")
     )
-    ids = lookup(words, vocab.select("token", "id"), ["token"])
+    vocab = vocab.select("token", "id")
+    if not fits(vocab):  # the words are read twice then, see ``lookup``
+        words = written(words, "words")
+    ids = lookup(words, vocab, ["token"])
     packed = ids.groupBy(row_id).agg(
         F.array_sort(
             F.collect_list(F.struct("p", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))

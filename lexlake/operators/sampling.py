@@ -10,7 +10,7 @@ all rows is therefore never gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from lexlake.operators.keyed import lookup
 from lexlake.session import written
 
 PREFIX = 4  # hex digits: 65,536 cells per class
+TOP_N = 100_000  # largest sample that one task sorts
 GROUP_LIMIT = 1000  # up to here Spark prunes a row_number filter before the shuffle
 
 
@@ -28,32 +29,36 @@ def seeded_hash(seed: int, *cols: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
-def hash_cuts(rows: DataFrame, keys: Sequence[str], hash_col: str, ranks: DataFrame) -> DataFrame:
-    """For each (key, cut, r) in ``ranks`` the r-th smallest hash of the key as ``bound``.
+def hash_cuts(
+    rows: DataFrame, keys: Sequence[str], hash_col: Column, ranks: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """For each wanted (key, cut, r) the r-th smallest hash of the key as ``bound``.
+
+    ``ranks`` turns the class sizes (key columns and ``n``) into the wanted
+    rows. A rank below 1 gives '' (nothing is at or below it), one beyond the
+    class gives 'g', which is above every hex digest. Hashes are unique within
+    a key. Without keys there is one class and one cut.
 
-    ``ranks`` has the key columns, ``cut`` and ``r``, one row per wanted cut. A
-    rank below 1 gives '' (nothing is at or below it), one beyond the class
-    gives 'g', which is above every hex digest. Hashes are unique within a key.
-    Without keys ``ranks`` is one row with cut 0.
+    The input is read once, for its keys and hashes.
     """
     keys = list(keys)
-    slim = rows.select(*keys, F.col(hash_col).alias("_h")).withColumn(
+    slim = written(rows.select(*keys, hash_col.alias("_h")), "hashes").withColumn(
         "_cell", F.substring("_h", 1, PREFIX)
     )
     cells = slim.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = cells.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    wanted = ranks(sizes).select(*keys, "cut", F.col("r").cast("long").alias("r"))
     # Bounded window: at most 16**PREFIX cells per key.
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell"))
     cells = cells.withColumn("_upto", upto)
-    wanted = ranks.select(*keys, "cut", F.col("r").cast("long").alias("r"))
     if keys:
         on = cells.join(wanted, keys)
     else:
-        on = cells.select("*", F.lit(0).alias("cut"), ranks.select("r").scalar().alias("r"))
+        on = cells.select("*", F.lit(0).alias("cut"), wanted.select("r").scalar().alias("r"))
     hit = on.where((F.col("r") <= F.col("_upto")) & (F.col("r") > F.col("_upto") - F.col("_n"))).select(
         *keys, "_cell", "cut", (F.col("r") - F.col("_upto") + F.col("_n")).alias("_left")
     )
-    hit = written(hit, "cut-cells")
-    inside = lookup(slim, hit, [*keys, "_cell"], how="inner")
+    inside = lookup(slim, written(hit, "cut-cells"), [*keys, "_cell"], how="inner")
     # Bounded window: the rows of one cell, about 1/65,536 of a class.
     place = F.row_number().over(Window.partitionBy(*keys, "_cell", "cut").orderBy("_h"))
     bounds = (
@@ -135,13 +140,10 @@ def stratified_take(
     df: DataFrame, key: str, row_id: str, quotas: DataFrame, seed: int
 ) -> DataFrame:
     """A seeded sample of min(class size, quota) rows per class; ``row_id`` is unique in a class."""
-    hashed = df.withColumn("_h", seeded_hash(seed, row_id))
-    quotas = written(quotas.select(key, "quota"), "quotas")
-    ranks = quotas.select(key, F.lit(0).alias("cut"), F.col("quota").alias("r"))
-    cuts = hash_cuts(hashed, [key], "_h", ranks).select(key, "bound")
-    return lookup(hashed, cuts, [key], how="inner").where(F.col("_h") <= F.col("bound")).drop(
-        "_h", "bound"
-    )
+    wanted = written(quotas.select(key, F.lit(0).alias("cut"), F.col("quota").alias("r")), "quotas")
+    h = seeded_hash(seed, row_id)
+    cuts = hash_cuts(df, [key], h, lambda sizes: wanted).select(key, "bound")
+    return lookup(df, cuts, [key], how="inner").where(h <= F.col("bound")).drop("bound")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -166,8 +168,17 @@ def first_n(
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
-    """``n`` rows in seeded random order; all of them if there are fewer."""
-    return df.orderBy(seeded_hash(seed, row_id), row_id).limit(n)
+    """``n`` rows in seeded random order; all of them if there are fewer.
+
+    A large sample is first cut out by its hash bound, so that the sort is a
+    distributed one instead of a top-n in one task. ``row_id`` is unique.
+    """
+    h = seeded_hash(seed, row_id)
+    if n <= TOP_N:
+        return df.orderBy(h, row_id).limit(n)
+    one_rank = lambda sizes: sizes.select(F.lit(0).alias("cut"), F.lit(n).alias("r"))
+    bound = hash_cuts(df, [], h, one_rank).select("bound").scalar()
+    return df.where(h <= bound).orderBy(h, row_id)
 
 
 def holdout_keys(df: DataFrame, key: str, share: float, seed: int, name: str = "held") -> DataFrame:
@@ -176,14 +187,13 @@ def holdout_keys(df: DataFrame, key: str, share: float, seed: int, name: str = "
     The rows are compared with one hash bound, so neither a join nor a shuffle
     of the rows is needed.
     """
-    keys = df.where(F.col(key).isNotNull()).select(key).distinct().select(
-        seeded_hash(seed, key).alias("h")
-    )
-    ranks = keys.agg(F.rint(F.count(F.lit(1)) * F.lit(share)).cast("long").alias("r")).withColumn(
-        "cut", F.lit(0)
+    h = seeded_hash(seed, key)
+    keys = df.where(F.col(key).isNotNull()).select(key).distinct()
+    part = lambda sizes: sizes.select(
+        F.lit(0).alias("cut"), F.rint(F.col("n") * F.lit(share)).alias("r")
     )
-    bound = hash_cuts(keys, [], "h", ranks).select("bound").scalar()
-    return df.withColumn(name, F.coalesce(seeded_hash(seed, key) <= bound, F.lit(False)))
+    bound = hash_cuts(keys, [], h, part).select("bound").scalar()
+    return df.withColumn(name, F.coalesce(h <= bound, F.lit(False)))
 
 
 def stratified_split(
@@ -200,28 +210,21 @@ def stratified_split(
     ``train`` is the share of the stratum, ``val`` the share of the rest. One id
     gives one label, so rows of a group never part.
     """
-    ids = df.select(stratum, row_id).distinct().withColumn("_h", seeded_hash(seed, row_id))
-    sizes = ids.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    h = seeded_hash(seed, row_id)
     head = F.rint(F.col("n") * F.lit(train)).cast("long")
     mid = head + F.rint((F.col("n") - head) * F.lit(val)).cast("long")
-    ranks = sizes.select(
-        stratum,
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("cut"), head.alias("r")),
-                F.struct(F.lit(1).alias("cut"), mid.alias("r")),
-            )
-        ),
+    two_cuts = F.array(
+        F.struct(F.lit(0).alias("cut"), head.alias("r")), F.struct(F.lit(1).alias("cut"), mid.alias("r"))
     )
+    ids = df.select(stratum, row_id).distinct()
     cuts = (
-        hash_cuts(ids, [stratum], "_h", ranks)
+        hash_cuts(ids, [stratum], h, lambda sizes: sizes.select(stratum, F.inline(two_cuts)))
         .groupBy(stratum)
         .agg(
             F.max(F.when(F.col("cut") == 0, F.col("bound"))).alias("_b0"),
             F.max(F.when(F.col("cut") == 1, F.col("bound"))).alias("_b1"),
         )
     )
-    h = seeded_hash(seed, row_id)
     label = (
         F.when(h <= F.col("_b0"), F.lit("train"))
         .when(h <= F.col("_b1"), F.lit("val"))

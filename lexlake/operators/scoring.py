@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexlake.operators import keyed
 from lexlake.operators.keyed import fits, lookup, spread
 from lexlake.session import written
 
 BLOCK_ROWS = 1000
+POOL_BLOCKS = 100  # blocks that may be broadcast: 100,000 candidates
 NO_SCORE = -1e9  # fixed value: score of a text without tokens
 
 TOKENS = r"(\p{L}+)"
@@ -55,7 +57,7 @@ def best_candidate(
         "pool",
     )
     one_each = blocks.where(F.col("_block") > 0).limit(1).count() == 0
-    met = lookup(rows, blocks.drop("_block"), [group])
+    met = lookup(rows, blocks.drop("_block"), [group], rows=POOL_BLOCKS)
     best = F.array_max(
         F.transform(
             "_cands",
@@ -118,13 +120,14 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
     counted = spread(rows.select(row_id, text)).select(
         row_id, F.explode(tokens_of(F.col(text))).alias("token"), F.lit(1).alias("n")
     )
-    if not fits(gains):  # tokens will be shuffled: combine repeated ones first
+    small = max(1, keyed.BROADCAST_ROWS // max(1, classes.count()))  # a row holds all classes
+    if not fits(gains, small):  # tokens will be shuffled: combine repeated ones first
         counted = written(
             counted.groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("n")), "row-tokens"
         )
     # The entry without a label carries the token count of the row.
     size = F.array(F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("gain")))
-    parts = lookup(counted, gains, ["token"]).select(
+    parts = lookup(counted, gains, ["token"], rows=small).select(
         row_id, "n", F.inline(F.concat(size, F.coalesce("gains", F.array())))
     )
     sums = (

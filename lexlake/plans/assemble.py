@@ -136,8 +136,10 @@ def read_network(spark: SparkSession, folder: str) -> DataFrame:
         "examples": ("17-lsex.csv", EXAMPLES),
         "links": ("18-lsex-rel.csv", EXAMPLE_LINKS),
     }
+    prose = {"definitions", "examples"}  # only these have line breaks inside cells
     read = {
-        k: read_delimited(spark, f"{folder}/{name}", schema) for k, (name, schema) in tables.items()
+        k: read_delimited(spark, f"{folder}/{name}", schema, multiline=k in prose)
+        for k, (name, schema) in tables.items()
     }
     return assemble(
         **read,

@@ -43,7 +43,7 @@ def read_envelope(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.option("multiLine", "true").schema(outer).json(path).select(F.inline("data"))
 
 
-def write_envelope(df: DataFrame, path: str, metadata: dict[str, str], rows: int = 100_000) -> None:
+def write_envelope(df: DataFrame, path: str, metadata: dict[str, str], rows: int = 10_000) -> None:
     """JSON documents with metadata and about ``rows`` records each, one per line.
 
     Large tables give many documents, each complete in itself, so no task ever
