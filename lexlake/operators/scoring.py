@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlake.operators import keyed
 from lexlake.operators.keyed import fits, lookup, spread
 from lexlake.session import written
 
 BLOCK_ROWS = 1000
+WIDE_CLASSES = 32  # classes that are summed in columns
+LONG_ROWS = 10_000  # tokens with a list of classes that may be broadcast
 POOL_BLOCKS = 100  # blocks that may be broadcast: 100,000 candidates
 NO_SCORE = -1e9  # fixed value: score of a text without tokens
 
@@ -115,32 +116,11 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
         F.log(F.lit(1.0) / (F.col("total") + vocabulary)).alias("unseen"),
     )
     table = classes.agg(F.array_sort(F.collect_list(F.struct("label", "unseen"))).alias("c")).scalar()
-    gain = F.struct(F.col(label).alias("label"), F.log(F.col("n") + 1.0).alias("gain"))
-    gains = written(model.groupBy("token").agg(F.collect_list(gain).alias("gains")), "gains")
     counted = spread(rows.select(row_id, text)).select(
         row_id, F.explode(tokens_of(F.col(text))).alias("token"), F.lit(1).alias("n")
     )
-    small = max(1, keyed.BROADCAST_ROWS // max(1, classes.count()))  # a row holds all classes
-    if not fits(gains, small):  # tokens will be shuffled: combine repeated ones first
-        counted = written(
-            counted.groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("n")), "row-tokens"
-        )
-    # The entry without a label carries the token count of the row.
-    size = F.array(F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("gain")))
-    parts = lookup(counted, gains, ["token"], rows=small).select(
-        row_id, "n", F.inline(F.concat(size, F.coalesce("gains", F.array())))
-    )
-    sums = (
-        parts.groupBy(row_id, "label")
-        .agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-        .groupBy(row_id)
-        .agg(
-            F.max(F.when(F.col("label").isNull(), F.col("gain"))).cast("long").alias("n_tokens"),
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "gain")))
-            ).alias("_gains"),
-        )
-    )
+    labels = [r["label"] for r in classes.select("label").limit(WIDE_CLASSES + 1).collect()]
+    sums = (_wide_sums if len(labels) <= WIDE_CLASSES else _long_sums)(counted, row_id, model, label, labels)
     full = (
         rows.join(sums, row_id, "left")
         .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
@@ -162,6 +142,45 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
     )
 
 
+def _combined(counted: DataFrame, row_id: str, gains: DataFrame) -> DataFrame:
+    """Repeated tokens of a row as one, if the join with ``gains`` will be a shuffle."""
+    if fits(gains):
+        return counted
+    return written(counted.groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("n")), "row-tokens")
+
+
+def _wide_sums(counted: DataFrame, row_id: str, model: DataFrame, label: str, labels: list) -> DataFrame:
+    """Gains of each row per class, a column per class while summing."""
+    value = lambda x: F.when(F.col(label) == x, F.log(F.col("n") + 1.0))
+    columns = {f"_g{i}": x for i, x in enumerate(labels)}
+    gains = written(
+        model.groupBy("token").agg(*[F.max(value(x)).alias(c) for c, x in columns.items()]), "gains"
+    )
+    joined = lookup(_combined(counted, row_id, gains), gains, ["token"])
+    sums = joined.groupBy(row_id).agg(
+        F.sum("n").alias("n_tokens"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in columns]
+    )
+    pairs = [p for c, x in columns.items() for p in (F.lit(x), F.col(c))]
+    return sums.select(row_id, "n_tokens", F.create_map(*pairs).alias("_gains"))
+
+
+def _long_sums(counted: DataFrame, row_id: str, model: DataFrame, label: str, labels: list) -> DataFrame:
+    """The same for many classes, a row per class while summing."""
+    gain = F.struct(F.col(label).alias("label"), F.log(F.col("n") + 1.0).alias("gain"))
+    gains = written(model.groupBy("token").agg(F.collect_list(gain).alias("gains")), "gains")
+    # The entry without a label carries the token count of the row.
+    size = F.array(F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("gain")))
+    parts = lookup(_combined(counted, row_id, gains), gains, ["token"], rows=LONG_ROWS).select(
+        row_id, "n", F.inline(F.concat(size, F.coalesce("gains", F.array())))
+    )
+    per_class = parts.groupBy(row_id, "label").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    known = F.when(F.col("label").isNotNull(), F.struct("label", "gain"))
+    return per_class.groupBy(row_id).agg(
+        F.max(F.when(F.col("label").isNull(), F.col("gain"))).cast("long").alias("n_tokens"),
+        F.map_from_entries(F.collect_list(known)).alias("_gains"),
+    )
+
+
 def batch_answer(
     df: DataFrame,
     load: Callable[[], Callable[[pd.Series], pd.Series]],

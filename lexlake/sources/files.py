@@ -105,6 +105,7 @@ def read_runs(spark: SparkSession, paths: str, schema: T.StructType, fmt: str =
 
 def read_summaries(spark: SparkSession, paths: str) -> DataFrame:
     """Run summary documents: name, date, total, task counts and the score map."""
+    # Field names of a run summary.
     summary = "struct<total_tasks:int,completed_tasks:int,failed_tasks:int>"
     schema = (
         "model_name string, model_path string, evaluation_date string, cole_score double, "

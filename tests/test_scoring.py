@@ -50,9 +50,11 @@ def plain_log_prob(texts, labels):
     return out
 
 
-@pytest.mark.parametrize("bound", [500_000, 5])
-def test_corpus_log_prob_by_broadcast_and_by_shuffle(spark, monkeypatch, bound):
+@pytest.mark.parametrize("bound,wide", [(500_000, 32), (5, 32), (5, 1)])
+def test_corpus_log_prob_by_broadcast_and_by_shuffle(spark, monkeypatch, bound, wide):
     monkeypatch.setattr(keyed, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(scoring, "WIDE_CLASSES", wide)
+    monkeypatch.setattr(scoring, "LONG_ROWS", bound)
     rnd = random.Random(7)
     texts = [" ".join(rnd.choices(["de", "le", "the", "of", "und", "der", "xy"], k=rnd.randint(0, 9))) for _ in range(60)]
     labels = [rnd.choice(["fr", "en", "de"]) for _ in texts]
