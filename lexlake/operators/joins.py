@@ -100,6 +100,13 @@ def skipped_keys(df: DataFrame, templates: DataFrame, key: str) -> DataFrame:
 
 
 _RUNS = r"(\p{L}+|\P{L}+)"
+_WORDS = r"(\p{L}+)"
+_PAIRS = r"(?<!\p{L})(?=(\p{L}+\P{L}+\p{L}+))\p{L}+"  # overlapping
+_PAIR, _WORD = 6, 5  # kinds of anchors; 1 to 4 are part lengths
+
+
+def _all(col: Column | str, pattern: str) -> Column:
+    return F.regexp_extract_all(col, F.lit(pattern), F.lit(1))
 
 
 def contain_join(
@@ -108,45 +115,36 @@ def contain_join(
     """(row, target) for every target text that stands inside the row's text.
 
     Filter and verify, by equality joins only. Each target gives one anchor
-    that any text containing it must have: its longest word with a neighbour on
-    both sides, which appears as a whole word of the text, or, when it has none,
-    up to four leading characters of its longest run, which appear inside a run
-    of the text. Rows sharing an anchor are then checked with ``contains``.
+    that any text containing it must have, the most selective there is: its
+    longest pair of neighbouring words, or its longest word, that have a
+    neighbour on both sides and so appear as whole words of the text; or else up
+    to four leading characters of its longest run, which appear inside a run of
+    the text. Rows sharing an anchor are then checked with ``contains``.
     """
     t = targets.select(
         F.col(target_id).alias("_tid"), F.col(target).alias("_t")
     ).where(F.length("_t") > 0)
-    runs = F.regexp_extract_all("_t", F.lit(_RUNS), F.lit(1))
-    t = t.withColumn("_runs", runs)
-    inner = F.filter(
-        F.slice("_runs", F.lit(2), F.greatest(F.size("_runs") - 2, F.lit(0))),
-        lambda r: r.rlike(r"\p{L}"),
-    )
+    t = t.withColumn("_runs", _all("_t", _RUNS))
+    inside = F.array_join(F.slice("_runs", F.lit(2), F.greatest(F.size("_runs") - 2, F.lit(0))), "")
     longest = lambda arr: F.array_max(
         F.transform(arr, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
     )["r"]
-    letters = F.filter("_runs", lambda r: r.rlike(r"\p{L}"))
-    edge = F.coalesce(longest(letters), longest(F.col("_runs")))
-    anchors = t.select(
-        "_tid",
-        "_t",
-        F.when(F.size(inner) > 0, longest(inner)).otherwise(F.substring(edge, 1, 4)).alias("_anchor"),
-        F.when(F.size(inner) > 0, F.lit(0)).otherwise(F.length(F.substring(edge, 1, 4))).alias("_kind"),
-    )
-    anchors = written(anchors, "anchors")
-    kinds = sorted(r["_kind"] for r in anchors.select("_kind").distinct().collect())  # of 0 to 4
-    wide = any(kinds)  # only short targets need runs without letters and parts of runs
-    runs_of_text = F.regexp_extract_all(text, F.lit(_RUNS if wide else r"(\p{L}+)"), F.lit(1))
-    words = spread(records.select(F.col(row_id).alias("_rid"), F.col(text).alias(text))).select(
-        "_rid", F.explode(F.array_distinct(runs_of_text)).alias("_w")
+    pair, word = longest(_all(inside, _PAIRS)), longest(_all(inside, _WORDS))
+    part = F.substring(F.coalesce(longest(_all("_t", _WORDS)), longest(F.col("_runs"))), 1, 4)
+    kind = F.when(pair.isNotNull(), _PAIR).when(word.isNotNull(), _WORD).otherwise(F.length(part))
+    anchors = written(
+        t.select("_tid", F.coalesce(pair, word, part).alias("_anchor"), kind.alias("_kind")), "anchors"
     )
-    keys = None
-    for kind in kinds:
-        anchor = F.col("_w") if kind == 0 else F.explode(_grams(F.col("_w"), kind))
-        some = words.select("_rid", anchor.alias("_anchor"), F.lit(kind).alias("_kind"))
-        keys = some if keys is None else keys.unionByName(some)
-    if keys is None:
-        keys = words.select("_rid", F.col("_w").alias("_anchor"), F.lit(0).alias("_kind"))
+    kinds = [r["_kind"] for r in anchors.select("_kind").distinct().collect()]  # six at most
+    slim = spread(records.select(F.col(row_id).alias("_rid"), F.col(text).alias("_text")))
+    keys = slim.select("_rid", F.lit("").alias("_anchor"), F.lit(0).alias("_kind")).where(F.lit(not kinds))
+    for k in kinds:
+        whole = {_PAIR: _PAIRS, _WORD: _WORDS}.get(k, _RUNS)
+        found = slim.select("_rid", F.explode(F.array_distinct(_all("_text", whole))).alias("_anchor"))
+        if k not in (_PAIR, _WORD):
+            found = found.select("_rid", F.explode(_grams(F.col("_anchor"), k)).alias("_anchor"))
+        found = found.withColumn("_kind", F.lit(k))
+        keys = keys.unionByName(found)
     near = lookup(keys, anchors.select("_anchor", "_kind", "_tid"), ["_anchor", "_kind"], how="inner")
     pairs = written(near.select("_rid", "_tid").distinct(), "contain-pairs")
     texts = records.select(F.col(row_id).alias("_rid"), F.col(text).alias("_text"))
