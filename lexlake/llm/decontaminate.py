@@ -139,32 +139,34 @@ class Phrases:
         for i, (window, _) in enumerate(rows):
             self.symbols[i, : len(window)] = [self.vocabulary[w] for w in window]
         self.items = [items for _, items in rows]
-        self.shortest = int(self.lengths.min(initial=1))
+        # By symbol: words of the shortest phrase that has it.
+        self.least = np.full(len(words) + 2, np.iinfo(np.int32).max, np.int32)
+        np.minimum.at(self.least, self.symbols.ravel(), np.repeat(self.lengths, width).astype(np.int32))
+        self.least[:2] = np.iinfo(np.int32).max
 
 
 def search_shard(docs: list[list[bytes]], phrases: Phrases) -> tuple[list[np.ndarray | None], list[set[str]]]:
     """Per document: the hit words as booleans (None: no hit) and the items found."""
     hits: list[np.ndarray | None] = [None] * len(docs)
     items: list[set[str]] = [set() for _ in docs]
-    get = phrases.vocabulary.get
-    parts, doc_of, word_of = [], [], []
-    for d, words in enumerate(docs):
-        if len(words) < phrases.shortest:
-            continue
-        ids = np.fromiter(map(get, words, repeat(1)), np.int32, len(words))
-        # A phrase lies inside a run of vocabulary words; runs shorter than every phrase need no index.
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 1).astype(np.int8), [0]))))
-        begins, ends = edges[::2], edges[1::2]
-        long = ends - begins >= phrases.shortest
-        for a, b in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
-            parts.append(ids[a:b])
-            parts.append(np.ones(1, np.int32))
-            doc_of.append(np.full(b - a + 1, d, np.int32))
-            word_of.append(np.arange(a, b + 1, dtype=np.int32))
-    if not parts:
+    flat: list[bytes] = []
+    for words in docs:
+        flat += words
+        flat.append(b"")  # no phrase goes from one document to the next
+    starts = np.concatenate(([0], np.cumsum([len(words) + 1 for words in docs])))
+    ids = np.fromiter(map(phrases.vocabulary.get, flat, repeat(1)), np.int32, len(flat))
+    # A phrase lies inside a run of vocabulary words. A run is indexed if it is as long as a phrase of one of its words.
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 1).astype(np.int8), [0]))))
+    begins, ends = edges[::2], edges[1::2]
+    if not len(begins):
         return hits, items
-    text, doc, word = np.concatenate([*parts, np.zeros(1, np.int32)]), np.concatenate(doc_of), np.concatenate(word_of)
-    index = FmIndex(text, len(phrases.vocabulary) + 2)
+    least = np.minimum.reduceat(phrases.least[ids], begins)  # what stands between runs asks for more than any run has
+    fits = least <= ends - begins
+    begins, sizes = begins[fits], (ends - begins)[fits] + 1
+    if not len(begins):
+        return hits, items
+    at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    index = FmIndex(np.concatenate((ids[at], np.zeros(1, np.int32))), len(phrases.vocabulary) + 2)
     low, high = index.search(phrases.symbols, phrases.lengths)
     found = np.flatnonzero(low < high)
     if not len(found):
@@ -173,15 +175,17 @@ def search_shard(docs: list[list[bytes]], phrases: Phrases) -> tuple[list[np.nda
     rows = np.repeat(low[found] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
     places = index.locate(rows)
     which = np.repeat(found, counts)
-    edge = np.zeros(len(text) + 1, np.int32)  # removal spans merge in a running sum
+    edge = np.zeros(len(at) + 2, np.int32)  # removal spans merge in a running sum
     np.add.at(edge, places, 1)
     np.add.at(edge, places + phrases.lengths[which], -1)
-    covered = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    for d in np.unique(doc[covered]).tolist():
-        hits[d] = np.zeros(len(docs[d]), bool)
-    for d, w in zip(doc[covered].tolist(), word[covered].tolist(), strict=True):
+    covered = at[np.cumsum(edge[: len(at)]) > 0]
+    doc = np.searchsorted(starts, covered, side="right") - 1
+    for d, w in zip(doc.tolist(), (covered - starts[doc]).tolist(), strict=True):
+        if hits[d] is None:
+            hits[d] = np.zeros(len(docs[d]), bool)
         hits[d][w] = True
-    pairs = np.unique(doc[places].astype(np.int64) * len(phrases.items) + which)
+    place_doc = np.searchsorted(starts, at[places], side="right") - 1
+    pairs = np.unique(place_doc * len(phrases.items) + which)
     for d, p in zip((pairs // len(phrases.items)).tolist(), (pairs % len(phrases.items)).tolist(), strict=True):
         items[d].update(phrases.items[p])
     return hits, items
