@@ -37,6 +37,28 @@ def plain_table() -> bytes:
     return _PLAIN
 
 
+class Memory:
+    """Bounded memory of two generations: what was asked for lately stays when the older half is dropped."""
+
+    def __init__(self, entries: int) -> None:
+        self.entries = entries
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores until no column of ``df`` has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import map_batches
+from lexlake.llm.common import Memory, map_batches
 
 MARK = "▁"  # stands for a blank and begins each text
 UNKNOWN_PENALTY = 10.0
-# Results of pieces of text kept by a worker; the memory is emptied when it is full.
-CACHE_ENTRIES = 400_000
+# Results of parts of text that a worker keeps in each generation of its memory, and the longest part that it keeps.
+CACHE_ENTRIES = 300_000
 CACHE_CHARS = 40
 
 
@@ -44,8 +44,8 @@ class Counter:
         self.automaton.make_automaton()
         # A line feed in no piece splits a part as well: nothing can cross it.
         self.split_lines = not any("\n" in p for p, _ in pieces)
-        self.seen: dict[str, int] = {}  # parts that a mark is put before
-        self.seen_lines: dict[str, int] = {}  # what follows a line feed
+        self.seen = Memory(CACHE_ENTRIES)  # parts that a mark is put before
+        self.seen_lines = Memory(CACHE_ENTRIES // 8)  # what follows a line feed
 
     def part(self, part: str) -> int:
         """Pieces of the best path through one part."""
@@ -93,18 +93,18 @@ class Counter:
             return 0
         text = text.replace(MARK, " ")
         parts = (text[1:] if text[0] == " " else text).split(" ")  # a mark is put only where none stands
-        total = 0
         seen = self.seen
-        for part in parts:
-            known = seen.get(part)
-            if known is None:
-                known = self.lines(MARK + part)
-                if len(part) <= CACHE_CHARS:
-                    if len(seen) >= CACHE_ENTRIES:
-                        seen.clear()
-                    seen[part] = known
-            total += known
-        return total
+        counts = list(map(seen.young.get, parts))
+        if None in counts:
+            for i, (part, known) in enumerate(zip(parts, counts, strict=True)):
+                if known is None:
+                    known = seen.get(part)
+                    if known is None:
+                        known = self.lines(MARK + part)
+                        if len(part) <= CACHE_CHARS:
+                            seen.put(part, known)
+                    counts[i] = known
+        return sum(counts)
 
     def lines(self, part: str) -> int:
         if not self.split_lines or "\n" not in part:
@@ -117,9 +117,7 @@ class Counter:
                 if known is None:
                     known = self.part(line)
                     if len(line) <= CACHE_CHARS:
-                        if len(self.seen_lines) >= CACHE_ENTRIES:
-                            self.seen_lines.clear()
-                        self.seen_lines[line] = known
+                        self.seen_lines.put(line, known)
                 total += known
         return total
 

@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexlake.llm.common import map_batches
+from lexlake.llm.common import Memory, map_batches
 from lexlake.session import scratch_path
 
 END_ID = 1
-# Parts of a text (between ASCII blanks) whose ids a worker keeps, and the longest part that it keeps.
-CACHE_ENTRIES = 400_000
-CACHE_BYTES = 64
+# Parts of a text (between ASCII blanks) and words without their tails whose ids a worker keeps in each generation of
+# its memory, and the longest ones that it keeps, in characters.
+CACHE_PARTS = 300_000
+CACHE_WORDS = 200_000
+CACHE_CHARS = 40
+# Words that go through the library in one text.
+TOGETHER = 500
 # Writer settings: format v2 pages give delta encoding where a dictionary does not pay, small
 # row groups and pages with column indexes allow reading few documents, ids and metadata are separate columns.
 WRITER = {
@@ -30,14 +34,17 @@ WRITER = {
     "parquet.page.row.count.limit": "5000",
 }
 
-_BLANKS = str.maketrans("\t\n\r", "   ")
+# ASCII marks that end a word as one token string of their own.
+_TAIL = ".,;:!?#$%&*|"
 
 
 class Encoder:
-    """Ids of texts through the tokenizers library, with a bounded memory of the ids of short parts.
+    """Ids of texts through the tokenizers library, with a bounded memory of the ids of what stands between ASCII blanks.
 
-    The tokenizer of the file replaces blanks and splits at them, so the parts of a text between ASCII blanks
-    are encoded by themselves; only parts not yet seen go through the library.
+    The tokenizer of the file replaces blanks and splits at them, so these parts are encoded by themselves. It
+    also splits between letters and marks: a word of letters followed by ``_TAIL`` marks is the ids of both. ASCII words are
+    lower-cased first, as the tokenizer does; words that are new go through the library many at a time, and the
+    piece that ends a word shows where the next one begins.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,31 +52,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {"": b""}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.parts, self.words = Memory(CACHE_PARTS), Memory(CACHE_WORDS)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of single words of letters, or of marks."""
+        found: dict[str, bytes] = {}
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(group):
+                data, edges = ids.tobytes(), (4 * np.concatenate(([0], cuts))).tolist()
+                found.update(zip(group, map(data.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
+            else:  # not one end a word: each by itself
+                found.update(zip(group, (x.tobytes() for x in self._ids(group)), strict=True))
+        return found
+
+    def _new_parts(self, new: list[str]) -> dict[str, bytes]:
+        split, whole = {}, []
+        for part in new:
+            word = part.rstrip(_TAIL)
+            low = word.lower()  # of some letters, a mark is left that goes with the tail
+            if low.isalpha() and word.isalpha() and len(word) <= CACHE_CHARS:
+                split[part] = (low if word.isascii() else word, part[len(word) :])
+            else:
+                whole.append(part)
+        known = {w: self.words.get(w) for pair in split.values() for w in pair if w}
+        fresh = self._words([w for w, ids in known.items() if ids is None])
+        for word, ids in fresh.items():
+            self.words.put(word, ids)
+        known.update(fresh)
+        known[""] = b""
+        found = {part: known[word] + known[tail] if tail else known[word] for part, (word, tail) in split.items()}
+        for at in range(0, len(whole), 5000):
+            some = whole[at : at + 5000]
+            found.update(zip(some, (x.tobytes() for x in self._ids(some)), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
-        new = set().union(*split).difference(self.seen) if split else set()
-        if len(self.seen) + len(new) > CACHE_ENTRIES:
-            self.seen = {"": b""}
-            new = set().union(*split)
-            new.discard("")
-        ordered = list(new)
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(ordered), 5000):
-            fresh.update(zip(ordered[at : at + 5000], self._ids(ordered[at : at + 5000]), strict=True))
-        known = self.seen
-        known.update(fresh)
-        out = [b"".join([known[p] for p in parts]) for parts in split]
-        for part in ordered:
-            if len(part) > CACHE_BYTES:
-                del known[part]
-        return out
+        memory = self.parts
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        found = [list(map(memory.young.get, parts)) for parts in split]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        asked = {p for i in lacking for p, ids in zip(split[i], found[i], strict=True) if ids is None}
+        known = {p: memory.old.get(p) for p in asked}
+        known.update(self._new_parts([p for p, ids in known.items() if ids is None]))
+        for i in lacking:
+            found[i] = [known[p] if ids is None else ids for p, ids in zip(split[i], found[i], strict=True)]
+        for part, ids in known.items():
+            if len(part) <= CACHE_CHARS:
+                memory.put(part, ids)
+        return list(map(b"".join, found))
 
 
 _ENCODERS: dict[str, Encoder] = {}

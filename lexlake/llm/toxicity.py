@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ LEAST_SHARE = 0.005
 # A term is this many times as frequent in documents of label 1.
 LEAST_RATIO = 20.0
 # Beginnings of words, in bytes, that count as terms besides whole words.
-PREFIXES = (4, 5, 6, 8)
+PREFIXES = (4, 5, 6, 8)  # ascending
 NEAR = 5
 ROUNDS, DEPTH = 60, 3
 
@@ -43,6 +44,8 @@ _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
 _DIGITS = b"0123456789"
 _INNER = b"*.-_~'`"
+_MIXED = re.compile(rb"[a-z][0-9]|[0-9][a-z]")
+_STRETCHED = re.compile(rb"([a-z])\1\1")
 
 
 @dataclass(frozen=True)
@@ -51,9 +54,12 @@ class Lexicon:
 
     words: dict[bytes, float]
     prefixes: dict[int, dict[bytes, float]]
+    first: frozenset[bytes]  # what any term begins with, as far as the shortest beginnings go
 
     def find(self, word: bytes) -> tuple[int, float]:
         """(1: whole word, 2: beginning, 0: none; log ratio)."""
+        if word[: PREFIXES[0]] not in self.first:
+            return 0, 0.0
         if word in self.words:
             return 1, self.words[word]
         for size, known in self.prefixes.items():
@@ -62,6 +68,11 @@ class Lexicon:
         return 0, 0.0
 
 
+def lexicon_of(words: dict[bytes, float], prefixes: dict[int, dict[bytes, float]]) -> Lexicon:
+    every = [*words, *(p for known in prefixes.values() for p in known)]
+    return Lexicon(words, prefixes, frozenset(t[: PREFIXES[0]] for t in every))
+
+
 def _words(text: bytes) -> list[bytes]:
     return text.translate(plain_table()).split()
 
@@ -82,7 +93,8 @@ def features(text: bytes, lexicon: Lexicon) -> list[float]:
     size = len(text)
     distinct = set(words)
     known = {}
-    for w in distinct:
+    start = lexicon.first
+    for w in [w for w in distinct if w[: PREFIXES[0]] in start]:
         kind, strength = lexicon.find(w)
         if kind:
             known[w] = (kind, strength)
@@ -102,13 +114,11 @@ def features(text: bytes, lexicon: Lexicon) -> list[float]:
     bare = lower.translate(LOOKALIKES, _INNER)
     hidden = 0
     if bare != lower:
-        for w in set(_words(bare)) - distinct:
-            hidden += lexicon.find(w)[0] > 0
+        hidden = sum(lexicon.find(w)[0] > 0 for w in set(_words(bare)) - distinct if w[: PREFIXES[0]] in start)
     letters = size - len(text.translate(None, _LETTERS))
-    with_digits = [w for w in distinct if not w.isalpha() and not w.isdigit()] if size != len(text.translate(None, _DIGITS)) else []
-    mixed_words = sum(1 for w in with_digits if w.translate(None, _DIGITS))
-    singles = sum(1 for w in words if len(w) == 1)
-    stretched = sum(1 for w in distinct if len(w) > 3 and any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2))) if len(distinct) < 2000 else 0
+    mixed_words = len(_MIXED.findall(lower)) if size != len(text.translate(None, _DIGITS)) else 0
+    singles = list(map(len, words)).count(1)
+    stretched = len(_STRETCHED.findall(lower))
     return [
         whole / n, begun / n, (whole + begun) / n, strength / n, hidden / n, near / n,
         sum(readers) / n if readers is not None else 0.0,
@@ -166,7 +176,7 @@ def learn_lexicon(sample: DataFrame, limit: int = LEXICON_TERMS) -> Lexicon:
             prefixes[len(term) - 1][term[1:]] = r["ratio"]
         else:
             words[term] = r["ratio"]
-    return Lexicon(words, prefixes)
+    return lexicon_of(words, prefixes)
 
 
 @dataclass(frozen=True)

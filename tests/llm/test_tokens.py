@@ -78,7 +78,8 @@ def test_token_query_against_the_library(spark):
 
 
 def test_token_output_of_odd_rows(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tokens_out, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(tokens_out, "CACHE_PARTS", 5)
+    monkeypatch.setattr(tokens_out, "CACHE_WORDS", 5)
     more = [(20, "It's <|endoftext|> we'll Å\u0085b\x1cc  d e"), (21, "x" * 5000), (22, "1a2 don't'S"), (23, "ﬁ İI\r\n\tq")]
     docs = odd_docs(spark).select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     path = str(tmp_path / "out")
@@ -98,3 +99,16 @@ def test_files_have_page_indexes_and_delta_or_dictionary_pages(spark, tmp_path):
         columns = [group.column(i) for i in range(group.num_columns)]
         assert all(c.has_offset_index for c in columns)
         assert any("DELTA_BINARY_PACKED" in c.encodings or "RLE_DICTIONARY" in c.encodings for c in columns if "ids" in c.path_in_schema)
+
+
+def test_small_memory_gives_equal_ids(monkeypatch):
+    monkeypatch.setattr(tokens_out, "CACHE_PARTS", 3)
+    monkeypatch.setattr(tokens_out, "CACHE_WORDS", 2)
+    path = tokenizer_file("word_bpe_49k.json")
+    encoder, library = tokens_out.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(8)
+    parts = ["The", "THE!!", "don't", "É", "éE,", "日本", "a1", "...", "$$$", "x" * 90, "<|endoftext|>", "İ!", "Σας.", "", "é", "\u0085", "가."]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) + rng.choice(" \n\t  ") for _ in range(rng.randrange(12))) for _ in range(5)]
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.encode(texts) == want
