@@ -18,8 +18,8 @@ from lexlake.session import scratch_path
 END_ID = 1
 # Parts of a text (between ASCII blanks) and words without their tails whose ids a worker keeps in each generation of
 # its memory, and the longest ones that it keeps, in characters.
-CACHE_PARTS = 300_000
-CACHE_WORDS = 200_000
+CACHE_PARTS = 400_000
+CACHE_WORDS = 400_000
 CACHE_CHARS = 40
 # Words that go through the library in one text.
 TOGETHER = 500
