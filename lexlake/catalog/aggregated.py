@@ -11,13 +11,13 @@ from lexlake.operators.scoring import candidate_pool, tokens_of
 
 @query(
     "agg_ordered_list",
-    """select conv_id, cast(0 as bigint) as part_no, count(*) as n_turns, md5(string_agg(concat(role, ':', text), '|' order by turn)) as turns_md5
+    """select conv_id, count(*) as n_turns, md5(string_agg(concat(role, ':', text), '|' order by turn)) as turns_md5
 from conversations group by conv_id""",
 )
 def agg_ordered_list(t: Tables) -> DataFrame:
     turns = ordered_lists(t.conversations, ["conv_id"], "turn", F.concat_ws(":", "role", "text"), "turns")
     return turns.select(
-        "conv_id", "part_no", F.size("turns").cast("long").alias("n_turns"), F.md5(F.array_join("turns", "|")).alias("turns_md5")
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.md5(F.array_join("turns", "|")).alias("turns_md5")
     )
 
 

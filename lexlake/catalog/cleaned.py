@@ -129,7 +129,7 @@ def zip_padded_query(t: Tables) -> DataFrame:
     told = t.conversations.where("role = 'assistant' and turn > 1")
     a = ordered_lists(asked, ["conv_id"], "turn", F.col("turn"), "a")
     b = ordered_lists(told, ["conv_id"], "turn", F.col("turn"), "b")
-    both = a.join(b, ["conv_id", "part_no"], "full")
+    both = a.join(b, ["conv_id"], "full")
     zipped = arrays.zip_padded(asked=F.col("a"), answered=F.col("b"))
     return both.select("conv_id", F.posexplode(zipped).alias("p", "z")).select(
         "conv_id", F.col("p").cast("long").alias("place"), "z.asked", "z.answered"
@@ -194,7 +194,7 @@ from part p left join (select e.* from v_edges e join keep on keep.lf = e.lf) e
 def filter_elements_query(t: Tables) -> DataFrame:
     nodes = written(nodes_with_lists(t), "nodes")
     keys = frequent_keys(list_keys(nodes, "lf_dict", "lexical_function", "lf"), "lf", FREQUENT).select("lf")
-    kept = filter_elements(nodes, "lf_dict", "lexical_function", keys, ["node_id", "part_no"])
+    kept = filter_elements(nodes, "lf_dict", "lexical_function", keys, ["node_id"])
     shown = F.transform("lf_dict", lambda x: F.concat(x["lexical_function"], F.lit(">"), x["target"]))
     return kept.select(
         "node_id", arrays.list_len(F.col("lf_dict")).alias("n_kept"), F.array_join(shown, "|").alias("relations")
@@ -207,10 +207,9 @@ def list_length(t: Tables) -> DataFrame:
 
     keys = ["name", "pos", "lf"]
     lists = sorted_sets(t.v_rel, keys, "target", "targets")
-    sized = lists.withColumn("group_id", joins.group_key(*keys)).select(
+    return lists.withColumn("group_id", joins.group_key(*keys)).select(
         "group_id", arrays.list_len(F.col("targets")).alias("n_targets")
     )
-    return sized.groupBy("group_id").agg(F.sum("n_targets").alias("n_targets"))
 
 
 @query("group_key", with_views("v_groups") + "select concat(lf, '||', name) as k, count(*) as n from v_groups group by 1")

@@ -18,7 +18,7 @@ SETTINGS = curate.CurationSettings(at_least=200, budget=300, floor=10, seed=42,
 
 def records_with_examples(t: Tables) -> DataFrame:
     """Nodes with relation lists, and the document of the same number as their example."""
-    nodes = nodes_with_lists(t).drop("part_no").withColumnRenamed("pos", "POS")
+    nodes = nodes_with_lists(t).withColumnRenamed("pos", "POS")
     example = F.struct("text", "occurrence", F.lit(1).alias("position"))
     texts = t.v_occ.select(F.col("doc_id").alias("node_id"), F.array(example).alias("examples"))
     return nodes.join(texts, "node_id", "left")
@@ -131,7 +131,7 @@ def judged_answers(t: Tables) -> DataFrame:
     lists = sorted_sets(
         t.v_rel.select(F.concat_ws("||", "name", "pos", "lf").alias("group_id"), F.lower("target").alias("target")),
         ["group_id"], "target", "targets",
-    ).drop("part_no")
+    )
     items = prompt_items(t).join(lists, "group_id").withColumnRenamed("lf", "lexical_function")
     templates = t.v_patterns.withColumnRenamed("lf", "lexical_function")
 

@@ -46,11 +46,11 @@ def markup_dictionary(t: Tables) -> DataFrame:
     return markup.markup_dictionary(t.pages, "html", "a", ["href"], keep=["page_id"])
 
 
-@query("json_envelope", "select n_nationkey, n_name, n_regionkey from nation")
+@query("json_envelope", "select doc_id, text, lang, source, n_chars from documents")
 def json_envelope(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "envelope")
-    files.write_envelope(t.nation, path, {"description": "nations", "version": "1"})
-    return files.read_envelope(t.spark, path, t.nation.schema)
+    files.write_envelope(t.documents, path, {"description": "documents", "version": "1"})
+    return files.read_envelope(t.spark, path, t.documents.schema)
 
 
 @query(

@@ -54,12 +54,12 @@ def chat_layout_text(t: Tables) -> DataFrame:
 
 @query(
     "render_conversation",
-    """select conv_id, cast(0 as bigint) as part_no, count(*) as n_turns, md5(concat(string_agg(concat('<|im_start|>', role, E'\\n', text, E'<|im_end|>\\n'), '' order by turn),
+    """select conv_id, count(*) as n_turns, md5(concat(string_agg(concat('<|im_start|>', role, E'\\n', text, E'<|im_end|>\\n'), '' order by turn),
   E'<|im_start|>assistant\\n')) as rendered_md5 from conversations group by conv_id""",
 )
 def render_conversation(t: Tables) -> DataFrame:
     chats = records.render_conversation(t.conversations, "conv_id", "turn", "role", "text")
-    return chats.select("conv_id", "part_no", "n_turns", F.md5("rendered").alias("rendered_md5"))
+    return chats.select("conv_id", "n_turns", F.md5("rendered").alias("rendered_md5"))
 
 
 SENTENCE_SQL = "concat('Fonction lexicale : ', lf, '. Terme : ', name, ' (', pos, '). Cible : ', first_target, '.')"

@@ -41,6 +41,13 @@ _UNSEEN = (
 _TAG = r"""</?[A-Za-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
 
 
+# What the numeric references 0x80 to 0x9F stand for.
+WINDOWS_1252 = (
+    "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f"
+    "\x90‘’“”•–—˜™š›œ\x9džŸ"
+)
+
+
 def strip(col: Column) -> Column:
     """Drop blanks, Unicode ones included, at both ends."""
     return F.btrim(col, F.lit(BLANKS))
@@ -80,19 +87,26 @@ def clean_definition(col: Column) -> Column:
     return strip(col)
 
 
+def _character(code: Column) -> Column:
+    """The character of a numeric reference: what is no character becomes U+FFFD, 0x80 to 0x9F are read as browsers do."""
+    wrong = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    windows = F.get(F.array(*[F.lit(ord(c)) for c in WINDOWS_1252]), code - 0x80)
+    known = F.when(wrong, F.lit(0xFFFD)).when(code.between(0x80, 0x9F), windows).otherwise(code)
+    return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+
+
 def decode_entities(col: Column) -> Column:
     """Decode numeric references and the common named ones."""
     out = col
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    numeric = F.array_distinct(
-        F.regexp_extract_all(out, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1))
-    )
-    digits = lambda e: F.lower(F.regexp_extract(e, r"&#(\w+);", 1))
-    code = lambda e: F.when(
-        digits(e).startswith("x"), F.conv(F.substring(digits(e), 2, 10), 16, 16)
-    ).otherwise(F.conv(digits(e), 10, 16))
-    char = lambda e: F.decode(F.unhex(F.lpad(code(e), 8, "0")), "UTF-32")
+    numeric = F.array_distinct(F.regexp_extract_all(out, F.lit(r"(&#(?:[0-9]+|[xX][0-9a-fA-F]+);?)"), F.lit(1)))
+    digits = lambda e: F.regexp_replace(F.lower(F.regexp_extract(e, r"&#(\w+)", 1)), r"^(x?)0+(?=.)", "$1")
+    # A number of more digits than any character has stands for none.
+    number = lambda d: F.when(
+        F.length(d) > 8, F.lit(-1)
+    ).when(d.startswith("x"), F.conv(F.substring(d, 2, 10), 16, 10).cast("int")).otherwise(F.conv(d, 10, 10).cast("int"))
+    char = lambda e: _character(number(digits(e)))
     with_numbers = F.when(
         F.contains(out, F.lit("&#")),
         F.aggregate(numeric, out, lambda acc, e: F.replace(acc, e, char(e))),

@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 from lexlake.session import written
 
 BROADCAST_ROWS = 500_000
-LIST_ROWS = 10_000
 HOT_SHARE = 0.001
 SALTS = 97
 
 
 def fits(df: DataFrame, rows: int | None = None) -> bool:
-    """True if ``df`` has at most ``rows`` rows; reads no more than it must."""
-    rows = BROADCAST_ROWS if rows is None else rows
-    return df.limit(rows + 1).count() <= rows
+    """True if ``df`` has at most ``rows`` rows; rows are counted where they are, and one number per task is shuffled."""
+    return df.count() <= (BROADCAST_ROWS if rows is None else rows)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
@@ -95,79 +93,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
 
 
-def ordered_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    value: Column,
-    name: str = "items",
-    rows: int | None = None,
-    mark_last: bool = False,
-) -> DataFrame:
-    """One row per key and part with ``value`` in the order of ``position``.
+def ordered_lists(df: DataFrame, keys: Sequence[str], position: str, value: Column, name: str = "items") -> DataFrame:
+    """One row per key with all its ``value`` in the order of ``position``, at every size.
 
-    ``position`` is a non-negative whole number, unique within a key. Keys with
-    at most ``rows`` rows give a single part 0. Longer keys are cut by position
-    range, so that a part never holds more than ``rows`` items and the parts in
-    ``part_no`` order are the whole list. ``mark_last`` adds the flag ``last``.
+    Lists are for results that are lists (node records, chat texts); what is counted or compared should stay in rows.
     """
-    rows = LIST_ROWS if rows is None else rows
-    keys = list(keys)
-    base = df.select(*keys, F.col(position).cast("long").alias("_p"), value.alias("_v"))
-    long_keys = (
-        base.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.floor(F.max("_p") / F.lit(rows)).alias("_end"))
-        .where(F.col("_n") > rows)
-        .select(*keys, "_end")
+    packed = df.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(position).cast("long").alias("_p"), value.alias("_v")))).alias("_l")
     )
-    parted = _with_part(base, long_keys, keys, F.floor(F.col("_p") / F.lit(rows)))
-    is_last = F.col("part_no") == F.coalesce("_end", F.lit(0)) if "_end" in parted.columns else F.lit(True)
-    packed = parted.groupBy(*keys, "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_l"), F.bool_and(is_last).alias("last")
-    )
-    shown = packed.select(*keys, "part_no", F.transform("_l", lambda x: x["_v"]).alias(name), "last")
-    return shown if mark_last else shown.drop("last")
+    return packed.select(*keys, F.transform("_l", lambda x: x["_v"]).alias(name))
 
 
-def sorted_sets(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    name: str = "items",
-    rows: int | None = None,
-) -> DataFrame:
-    """Sorted distinct values per key; null keys and null values are dropped.
+def sorted_sets(df: DataFrame, keys: Sequence[str], value: str, name: str = "items") -> DataFrame:
+    """One row per key with its sorted distinct values; null keys and null values are dropped.
 
-    Values are made distinct before anything is gathered. A key with more than
-    ``rows`` distinct values comes in several parts by hash of the value.
+    Values are made distinct in each task before they are shuffled.
     """
-    rows = LIST_ROWS if rows is None else rows
-    keys = list(keys)
     base = df.select(*keys, F.col(value).alias("_v")).dropna(subset=[*keys, "_v"])
-    # Plain row counts are enough to rule almost all keys out without a distinct.
-    crowded = _over(base, keys, rows).select(*keys)
-    if crowded.isEmpty():
-        single = base.distinct().withColumn("part_no", F.lit(0).cast("long"))
-    else:
-        crowded = written(crowded, "crowded")
-        sizes = _over(lookup(base, crowded, keys, how="inner").distinct(), keys, rows)
-        parts = (F.lit(2) * F.ceil(F.col("_n") / F.lit(rows))).cast("long").alias("_parts")
-        single = _with_part(
-            base.distinct(), sizes.select(*keys, parts), keys, F.pmod(F.xxhash64("_v"), F.col("_parts"))
-        )
-    return single.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_list("_v")).alias(name))
+    return base.groupBy(*keys).agg(F.sort_array(F.collect_set("_v")).alias(name))
 
 
 def _over(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-
-
-def _with_part(base: DataFrame, long_keys: DataFrame, keys: list[str], part: Column) -> DataFrame:
-    """Add ``part_no``: 0 for ordinary keys, ``part`` for the long ones."""
-    if long_keys.isEmpty():
-        return base.withColumn("part_no", F.lit(0).cast("long"))
-    long_keys = written(long_keys, "long-keys")
-    marked = lookup(base, long_keys.withColumn("_long", F.lit(True)), keys)
-    return marked.withColumn(
-        "part_no", F.when(F.col("_long"), part).otherwise(F.lit(0)).cast("long")
-    )

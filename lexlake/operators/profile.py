@@ -77,13 +77,12 @@ def combination_counts(
     compact = F.array_join(
         F.transform("combo", lambda p: F.concat(p["v"], F.lit("x"), p["times"].cast("string"))), joiner
     )
-    counts = combos.groupBy(compact.alias("compact")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("combo").alias("combo")
-    )
+    # The text only orders ties: unlike combinations may read alike.
+    counts = combos.groupBy("combo").agg(F.count(F.lit(1)).alias("n")).withColumn("compact", compact)
     written_out = F.array_join(
         F.flatten(F.transform("combo", lambda p: F.array_repeat(p["v"], p["times"].cast("int")))), joiner
     )
-    return top_k(counts, top, "compact").select(written_out.alias("combination"), "n")
+    return top_k(counts, top, "compact", "combo").select(written_out.alias("combination"), "n")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

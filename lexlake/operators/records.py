@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions.text import strip
-from lexlake.operators.keyed import LIST_ROWS, fits, lookup, ordered_lists, spread
+from lexlake.operators.keyed import fits, lookup, ordered_lists, spread
 from lexlake.operators.sampling import PREFIX
 from lexlake.operators.scoring import tokens_of
 from lexlake.session import written
@@ -42,22 +42,13 @@ def mask_sentence(relation: Column, name: Column, pos: Column, target: Column) -
     return F.format_string(MASK_SENTENCE, *[strip(c) for c in (relation, name, pos, target)])
 
 
-def render_conversation(
-    df: DataFrame, conv: str, turn: str, role: str, text: str, rows: int = LIST_ROWS
-) -> DataFrame:
-    """One chat text per conversation, ending with the cue for the next answer.
-
-    A conversation of more than ``rows`` turns comes in parts; joined in
-    ``part_no`` order they are the whole text, and only the last has the cue.
-    """
+def render_conversation(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """One chat text per conversation, ending with the cue for the next answer."""
     turns = F.format_string(TURN, F.col(role), F.col(text))
-    parts = ordered_lists(df, [conv], turn, turns, "turns", rows, mark_last=True)
-    cue = F.when(F.col("last"), F.lit(CUE)).otherwise(F.lit(""))
-    return parts.select(
+    return ordered_lists(df, [conv], turn, turns, "turns").select(
         conv,
-        "part_no",
         F.size("turns").cast("long").alias("n_turns"),
-        F.concat(F.array_join("turns", ""), cue).alias("rendered"),
+        F.concat(F.array_join("turns", ""), F.lit(CUE)).alias("rendered"),
     )
 
 

@@ -205,7 +205,7 @@ def stratified_split(
     val: float = 0.5,
     name: str = "split",
 ) -> DataFrame:
-    """Label rows train, val or test with exact shares in every stratum.
+    """Label rows train, val or test with exact shares in every stratum; a null stratum is one of its own.
 
     ``train`` is the share of the stratum, ``val`` the share of the rest. One id
     gives one label, so rows of a group never part.
@@ -216,10 +216,11 @@ def stratified_split(
     two_cuts = F.array(
         F.struct(F.lit(0).alias("cut"), head.alias("r")), F.struct(F.lit(1).alias("cut"), mid.alias("r"))
     )
-    ids = df.select(stratum, row_id).distinct()
+    key = "_stratum"  # a struct is never null, so null strata join as well
+    ids = df.select(F.struct(stratum).alias(key), row_id).distinct()
     cuts = (
-        hash_cuts(ids, [stratum], h, lambda sizes: sizes.select(stratum, F.inline(two_cuts)))
-        .groupBy(stratum)
+        hash_cuts(ids, [key], h, lambda sizes: sizes.select(key, F.inline(two_cuts)))
+        .groupBy(key)
         .agg(
             F.max(F.when(F.col("cut") == 0, F.col("bound"))).alias("_b0"),
             F.max(F.when(F.col("cut") == 1, F.col("bound"))).alias("_b1"),
@@ -230,7 +231,8 @@ def stratified_split(
         .when(h <= F.col("_b1"), F.lit("val"))
         .otherwise(F.lit("test"))
     )
-    return lookup(df, cuts, [stratum], how="inner").withColumn(name, label).drop("_b0", "_b1")
+    keyed = df.withColumn(key, F.struct(stratum))
+    return lookup(keyed, cuts, [key], how="inner").withColumn(name, label).drop("_b0", "_b1", key)
 
 
 def split_overlap(df: DataFrame, row_id: str, split: str = "split") -> DataFrame:

@@ -80,11 +80,7 @@ def assemble(
     links: DataFrame,
     examples: DataFrame,
 ) -> DataFrame:
-    """One record per node; repeated grammar or definition rows repeat the node.
-
-    A node whose lists exceed the list bound comes as several records that
-    differ in ``part_no``; all other nodes have the single part 0.
-    """
+    """One record per node with its whole lists; repeated grammar or definition rows repeat the node."""
     named = node_names(nodes, entries)
     marks = grammar.withColumn("_row", F.monotonically_increasing_id())
     marks = decode_list(marks, "usagenote", grammar_names, "usagenote_names", ["_row"])
@@ -100,7 +96,7 @@ def assemble(
         extract_elements(F.col("def_XML"), "actantpos", "tc").alias("actants"),
     )
     lists = relation_lists(edges, named, relations).join(
-        example_lists(links, examples), ["node_id", "part_no"], "full"
+        example_lists(links, examples), ["node_id"], "full"
     )
     return (
         named.join(marks, "node_id", "left")
@@ -111,7 +107,6 @@ def assemble(
             "actants", "lf_dict",
             F.coalesce("examples", F.array().cast("array<struct<text:string,occurrence:string,position:int>>")).alias("examples"),
             "status", "%",
-            F.coalesce("part_no", F.lit(0)).cast("long").alias("part_no"),
         )
     )
 

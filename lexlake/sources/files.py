@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +25,23 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header and a given schema; only the empty cell is null.
 
-    Quoted cells may hold line breaks. Tables known to have none should pass
-    ``multiline=False``, so that Spark can split a large file.
+    Columns are found by the names in the header line, whatever their order and number; a missing one
+    is an error. Quoted cells may hold line breaks. Tables known to have none should pass
+    ``multiline=False``, so that Spark can split a large file. All files of ``path`` need one header; see ``read_runs``.
     """
     options = {**_CSV, "sep": sep, "multiLine": str(multiline).lower()}
-    return spark.read.options(**options).schema(schema).csv(path)
+    return by_header(spark.read.options(**options), path, schema)
+
+
+def by_header(reader: DataFrameReader, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """The columns of ``schema`` from files with a header, by name; cells are read as text and cast."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw = reader.option("inferSchema", "false").csv(path)
+    lacking = [f.name for f in wanted if f.name not in raw.columns]
+    if lacking:
+        raise ValueError(f"no column {', '.join(lacking)} in {path}")
+    cast = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
+    return raw.select(*[cast(f) for f in wanted])
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t") -> None:
@@ -40,7 +54,15 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t") -> None:
 def read_envelope(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of JSON documents ``{"metadata": ..., "data": [...]}``."""
     outer = T.StructType([T.StructField("data", T.ArrayType(schema))])
-    return spark.read.option("multiLine", "true").schema(outer).json(path).select(F.inline("data"))
+    # One document per line reads in splits; a file that is one document over many lines is read whole.
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", outer)["data"].alias("data"))
+    names = [r["_file"] for r in lines.where(F.col("data").isNull()).select("_file").distinct().collect()]  # file names only
+    rows = lines.where(~F.col("_file").isin(names)).select(F.inline("data"))
+    if not names:
+        return rows
+    whole = spark.read.option("multiLine", "true").schema(outer).json([unquote(n) for n in names])
+    return rows.unionByName(whole.select(F.inline("data")))
 
 
 def write_envelope(df: DataFrame, path: str, metadata: dict[str, str], rows: int = 10_000) -> None:
@@ -97,10 +119,24 @@ def run_name(path: Column) -> Column:
 
 def read_runs(spark: SparkSession, paths: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
     """All result files of a path pattern, with the run each row came from."""
-    reader = spark.read.format(fmt).schema(schema).option("recursiveFileLookup", "true")
-    if fmt == "csv":
-        reader = reader.options(**_CSV, sep=",")
-    return reader.load(paths).withColumn("run", run_name(F.col("_metadata.file_path")))
+    if fmt != "csv":
+        reader = spark.read.format(fmt).schema(schema).option("recursiveFileLookup", "true")
+        return reader.load(paths).withColumn("run", run_name(F.col("_metadata.file_path")))
+    options = {**_CSV, "sep": ",", "recursiveFileLookup": "true"}
+    # Files may differ in their columns, so each header is read by itself; there is one line of names per file.
+    firsts = spark.read.option("recursiveFileLookup", "true").text(paths).select(F.col("_metadata.file_path").alias("_file"), "value", F.col("_metadata.file_block_start").alias("_at"))
+    headers = firsts.where("_at = 0").groupBy("_file").agg(F.first("value").alias("header")).groupBy("header").agg(F.collect_list("_file").alias("files")).collect()
+    found = None
+    for row in headers:
+        part = spark.read.options(**options).csv([unquote(f) for f in row["files"]])
+        have = {c: f for c, f in ((f.name, f) for f in schema) if c in part.columns}
+        columns = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        part = part.select(*columns, run_name(F.col("_metadata.file_path")).alias("run"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        empty = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+        return spark.createDataFrame([], empty)
+    return found
 
 
 def read_summaries(spark: SparkSession, paths: str) -> DataFrame:

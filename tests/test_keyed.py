@@ -54,28 +54,20 @@ def test_fits(spark):
     assert fits(spark.range(10), 10) and not fits(spark.range(11), 10)
 
 
-def test_lists_keep_their_order_and_long_ones_come_in_parts(spark):
+def test_lists_keep_their_order_and_are_whole(spark):
     rnd = random.Random(2)
-    rows = [("long", i, f"v{i}") for i in range(500)] + [(f"k{i % 20}", i, f"v{i}") for i in range(100)]
+    rows = [("long", i, f"v{i}") for i in range(20500)] + [(f"k{i % 20}", i, f"v{i}") for i in range(100)]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, p long, v string")
-    lists = ordered_lists(df, ["k"], "p", F.col("v"), rows=50).collect()
-    assert max(len(r["items"]) for r in lists) <= 50
-    whole = [x for r in sorted((r for r in lists if r["k"] == "long"), key=lambda r: r["part_no"]) for x in r["items"]]
-    assert whole == [f"v{i}" for i in range(500)]
-    short = {r["k"]: r["items"] for r in lists if r["k"] != "long"}
-    assert short == {f"k{j}": [f"v{i}" for i in range(100) if i % 20 == j] for j in range(20)}
-    assert all(r["part_no"] == 0 for r in lists if r["k"] != "long")
+    lists = {r["k"]: r["items"] for r in ordered_lists(df, ["k"], "p", F.col("v")).collect()}
+    assert lists.pop("long") == [f"v{i}" for i in range(20500)]
+    assert lists == {f"k{j}": [f"v{i}" for i in range(100) if i % 20 == j] for j in range(20)}
 
 
-def test_sets_drop_nulls_and_long_ones_come_in_parts(spark):
+def test_sets_drop_nulls_and_are_whole(spark):
     rows = [("big", f"t{i % 300}") for i in range(900)] + [("dup", "same")] * 200 + [("a", "y"), ("a", "x"), ("a", None), (None, "z")]
-    df = spark.createDataFrame(rows, "k string, t string")
-    sets = sorted_sets(df, ["k"], "t", rows=50).collect()
-    big = [x for r in sets if r["k"] == "big" for x in r["items"]]
-    assert sorted(big) == sorted({f"t{i}" for i in range(300)}) and len(big) == 300
-    assert max(len(r["items"]) for r in sets) < 100
-    assert {(r["k"], tuple(r["items"])) for r in sets if r["k"] != "big"} == {("dup", ("same",)), ("a", ("x", "y"))}
+    sets = sorted_sets(spark.createDataFrame(rows, "k string, t string"), ["k"], "t").collect()
+    assert {r["k"]: r["items"] for r in sets} == {"big": sorted({f"t{i}" for i in range(300)}), "dup": ["same"], "a": ["x", "y"]}
 
 
 def test_spread_leaves_large_inputs_alone(spark):

@@ -82,10 +82,8 @@ def test_layouts(spark):
     assert tuple(shown) == ("<s>[INST] q [/INST] a </s>", "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>", "<s> t </s>")
 
 
-def test_long_conversation_in_parts_is_the_whole_text(spark):
+def test_conversation_is_one_text(spark):
     rows = [("c", i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(25)]
     df = spark.createDataFrame(rows, "c string, turn long, role string, text string")
-    whole = records.render_conversation(df, "c", "turn", "role", "text").first()["rendered"]
-    parts = records.render_conversation(df, "c", "turn", "role", "text", rows=10).orderBy("part_no").collect()
-    assert len(parts) == 3 and "".join(r["rendered"] for r in parts) == whole
-    assert whole.endswith("<|im_start|>assistant\n") and whole.count("<|im_end|>") == 25
+    (row,) = records.render_conversation(df, "c", "turn", "role", "text").collect()
+    assert row["rendered"].endswith("<|im_start|>assistant\n") and row["rendered"].count("<|im_end|>") == 25

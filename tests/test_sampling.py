@@ -109,3 +109,10 @@ def test_first_per_key_and_sample(spark):
     b = [r["id"] for r in sampling.seeded_sample(ids.repartition(9), 50, 42, "id").collect()]
     assert a == b and len(set(a)) == 50 and a != sorted(a)
     assert sampling.seeded_sample(ids, 5000, 42, "id").count() == 1000
+
+
+def test_split_keeps_null_strata(spark):
+    rows = [(i, None if i % 3 == 0 else "a" if i % 3 == 1 else "b") for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = sampling.stratified_split(df, "id", "s", 1).groupBy("s", "split").count().collect()
+    assert {(r["s"], r["split"]): r["count"] for r in got} == {(s, k): n for s in (None, "a", "b") for k, n in (("train", 24), ("val", 3), ("test", 3))}

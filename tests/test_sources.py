@@ -25,8 +25,28 @@ def test_envelope_in_several_documents(spark, tmp_path):
     docs = [json.loads(x) for p in (tmp_path / "e").glob("part*") for x in p.read_text().splitlines()]
     assert len(docs) > 3 and all(d["metadata"] == {"description": "d"} for d in docs)
     assert all(len(d["data"]) <= 4 for d in docs)
-    lines = spark.read.schema("data array<struct<id:bigint,x:string>>").json(str(tmp_path / "e"))
-    assert sorted(r["id"] for r in lines.select(F.inline("data")).collect()) == list(range(25))
+    assert sorted(files.read_envelope(spark, str(tmp_path / "e"), df.schema).collect()) == sorted(df.collect())
+    wide = spark.range(25000).coalesce(1)  # more than one document in a file
+    files.write_envelope(wide, str(tmp_path / "w"), {"description": "d"})
+    assert files.read_envelope(spark, str(tmp_path / "w"), wide.schema).count() == 25000
+
+
+def test_delimited_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id\textra\tname\n1\te\tn1\n2\t\t\n")
+    rows = files.read_delimited(spark, str(tmp_path / "a.csv"), "name string, id int").collect()
+    assert [tuple(r) for r in rows] == [("n1", 1), (None, 2)]
+    with pytest.raises(ValueError, match="no column other"):
+        files.read_delimited(spark, str(tmp_path / "a.csv"), "id int, other string")
+
+
+def test_runs_with_unlike_columns(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "two.csv").write_text("b,extra,a\ny,e,2\n")
+    (tmp_path / "three.csv").write_text("b\nz\n")
+    schema = spark.createDataFrame([], "a int, b string").schema
+    rows = files.read_runs(spark, str(tmp_path), schema).collect()
+    assert sorted(tuple(r) for r in rows if r["a"]) == [(1, "x", "one"), (2, "y", "two")]
+    assert [(r["a"], r["b"], r["run"]) for r in rows if not r["a"]] == [(None, "z", "three")]
 
 
 def test_envelope_document_written_elsewhere(spark, tmp_path):
@@ -141,7 +161,7 @@ def test_network_is_assembled(spark, network):
     assert [tuple(x) for x in n2["lf_dict"]] == [(None, None, "se laver")]
     assert [tuple(x) for x in n2["examples"]] == [(None, None, 1)]
     n3 = by["n3"][0]
-    assert (n3["name"], n3["POS"], n3["lf_dict"], n3["examples"], n3["part_no"]) == (None, None, None, [], 0)
+    assert (n3["name"], n3["POS"], n3["lf_dict"], n3["examples"]) == (None, None, None, [])
     assert [len(v) for v in (by["n1"], by["n3"])] == [1, 1]
 
 

@@ -126,3 +126,14 @@ def test_kwic_against_a_plain_loop(spark):
     df = spark.createDataFrame(rows, "i int, t string, o string")
     got = {r["i"]: r["v"] for r in df.select("i", text.kwic(F.col("t"), F.col("o")).alias("v")).collect()}
     assert got == {i: slow_kwic(t, o) for i, t, o in rows}
+
+
+def test_numeric_references_never_fail(one):
+    from lexlake.functions.text import decode_entities
+
+    cases = {
+        "&#9999999;x": "\ufffdx", "&#xD800;": "\ufffd", "&#0;": "\ufffd", "&#146;": "\u2019", "&#x80;": "\u20ac", "&#129;": "\x81",
+        "&#99999999999999999999;": "\ufffd", "&#0000065;": "A", "&#x0041;&#65;": "AA", "&#128512;": "\U0001f600", "&#65 b": "A b", "&#;": "&#;",
+    }
+    for text, want in cases.items():
+        assert one({"t": text}, decode_entities(F.col("t")), "t string") == want, text
