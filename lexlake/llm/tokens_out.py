@@ -18,8 +18,8 @@ from lexlake.session import scratch_path
 END_ID = 1
 # Parts of a text (between ASCII blanks) and words without their tails whose ids a worker keeps in each generation of
 # its memory, and the longest ones that it keeps, in characters.
-CACHE_PARTS = 400_000
-CACHE_WORDS = 400_000
+CACHE_PARTS = 300_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 40
 # Words that go through the library in one text.
 TOGETHER = 500
@@ -61,8 +61,13 @@ class Encoder:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of single words of letters, or of marks."""
-        found: dict[str, bytes] = {}
+        """Ids of single words of letters, or of marks.
+
+        To ASCII words the steps before the merges do nothing more, so they go to the model of the tokenizer directly.
+        """
+        pieces = self.tokenizer.model.tokenize
+        found = {w: np.array([t.id for t in pieces(w)], "<u4").tobytes() for w in words if w.isascii()}
+        words = [w for w in words if not w.isascii()]
         groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
         for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
             cuts = np.flatnonzero(self.ends[ids]) + 1
