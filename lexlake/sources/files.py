@@ -117,11 +117,12 @@ def run_name(path: Column) -> Column:
     return F.regexp_replace(owner, r"\.(csv|json|jsonl|parquet)$", "")
 
 
-def read_runs(spark: SparkSession, paths: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+def read_runs(spark: SparkSession, paths: str, schema: T.StructType | str, fmt: str = "csv") -> DataFrame:
     """All result files of a path pattern, with the run each row came from."""
     if fmt != "csv":
         reader = spark.read.format(fmt).schema(schema).option("recursiveFileLookup", "true")
         return reader.load(paths).withColumn("run", run_name(F.col("_metadata.file_path")))
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     options = {**_CSV, "sep": ",", "recursiveFileLookup": "true"}
     # Files may differ in their columns, so each header is read by itself; there is one line of names per file.
     firsts = spark.read.option("recursiveFileLookup", "true").text(paths).select(F.col("_metadata.file_path").alias("_file"), "value", F.col("_metadata.file_block_start").alias("_at"))
