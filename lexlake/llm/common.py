@@ -58,6 +58,12 @@ class Memory:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def put_all(self, entries: dict) -> None:
+        """Put many entries at once; more of them than a generation holds stay until the next call."""
+        if len(self.young) + len(entries) > self.entries:
+            self.old, self.young = self.young, {}
+        self.young.update(entries)
+
 
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores until no column of ``df`` has it (names compare without case)."""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,13 +18,14 @@ from lexlake.llm.common import Memory, map_batches
 from lexlake.session import scratch_path
 
 END_ID = 1
-# Parts of a text (between ASCII blanks) and words without their tails whose ids a worker keeps in each generation of
-# its memory, and the longest ones that it keeps, in characters.
-CACHE_PARTS = 300_000
-CACHE_WORDS = 300_000
+# Words, and parts of a text (between ASCII blanks) that are more than a word and marks, whose ids a worker keeps in each
+# generation of its memory, and the longest ones that it keeps, in characters.
+CACHE_WORDS = 500_000
+CACHE_PARTS = 100_000
 CACHE_CHARS = 40
-# Words that go through the library in one text.
-TOGETHER = 500
+# Parts that go through the library in one call, and bytes of text that are taken apart at a time.
+TOGETHER = 5000
+CHUNK_BYTES = 8 << 20
 # Writer settings: format v2 pages give delta encoding where a dictionary does not pay, small
 # row groups and pages with column indexes allow reading few documents, ids and metadata are separate columns.
 WRITER = {
@@ -34,86 +37,106 @@ WRITER = {
     "parquet.page.row.count.limit": "5000",
 }
 
-# ASCII marks that end a word as one token string of their own.
-_TAIL = ".,;:!?#$%&*|"
+# Letters, each of them one code point that composes with nothing before it and has one lower-case letter.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+# Such letters and the ASCII marks that end a word as one token string of their own.
+_WORD_AND_TAIL = rf"^(?P<word>[{_LETTERS}]+)(?P<tail>[.,;:!?#$%&*|]*)$"
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked runs of ``flat``, which is cut into runs of ``sizes``, one after another, and where each of them ends."""
+    n = sizes[picked]
+    ends = np.cumsum(n)
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(before[picked] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 class Encoder:
     """Ids of texts through the tokenizers library, with a bounded memory of the ids of what stands between ASCII blanks.
 
-    The tokenizer of the file replaces blanks and splits at them, so these parts are encoded by themselves. It
-    also splits between letters and marks: a word of letters followed by ``_TAIL`` marks is the ids of both. ASCII words are
-    lower-cased first, as the tokenizer does; words that are new go through the library many at a time, and the
-    piece that ends a word shows where the next one begins.
+    The tokenizer of the file replaces blanks and splits at them, so these parts are encoded by themselves, each
+    distinct part of a chunk once. It also splits between letters and marks: a word of ``_LETTERS`` followed by marks is
+    the ids of both. To such a word, the steps before the merges only change letters to lower case and to the byte
+    letters of the library, so both are done to many words at once and the words go to the model of the tokenizer directly.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x180)}
         self.parts, self.words = Memory(CACHE_PARTS), Memory(CACHE_WORDS)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of single words of letters, or of marks.
-
-        To ASCII words the steps before the merges do nothing more, so they go to the model of the tokenizer directly.
-        """
-        pieces = self.tokenizer.model.tokenize
-        found = {w: np.array([t.id for t in pieces(w)], "<u4").tobytes() for w in words if w.isascii()}
-        words = [w for w in words if not w.isascii()]
-        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group):
-                data, edges = ids.tobytes(), (4 * np.concatenate(([0], cuts))).tolist()
-                found.update(zip(group, map(data.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
-            else:  # not one end a word: each by itself
-                found.update(zip(group, (x.tobytes() for x in self._ids(group)), strict=True))
+    def _by_library(self, parts: list[str]) -> list[bytes]:
+        encode = self.tokenizer.encode_batch_fast
+        groups = (parts[at : at + TOGETHER] for at in range(0, len(parts), TOGETHER))
+        return [np.array(e.ids, "<u4").tobytes() for g in groups for e in encode(g, add_special_tokens=False)]
+
+    def _by_model(self, words: list[str]) -> list[bytes]:
+        pieces, letters = self.tokenizer.model.tokenize, self.byte_letters
+        ids = [[t.id for t in pieces(w if w.isascii() else w.translate(letters))] for w in words]
+        ends = np.cumsum([4 * len(x) for x in ids], dtype=np.int64).tolist()
+        data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        return list(map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)))
+
+    @staticmethod
+    def _known(memory: Memory, keys: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of distinct ``keys``: of those that the memory lacks by ``encode``."""
+        found = list(map(memory.young.get, keys))
+        if None in found:
+            asked = {k: memory.old.get(k) for k, ids in zip(keys, found, strict=True) if ids is None}
+            fresh = [k for k, ids in asked.items() if ids is None]
+            asked.update(zip(fresh, encode(fresh), strict=True))
+            found = [asked[k] if ids is None else ids for k, ids in zip(keys, found, strict=True)]
+            memory.put_all({k: ids for k, ids in asked.items() if len(k) <= CACHE_CHARS})
         return found
 
-    def _new_parts(self, new: list[str]) -> dict[str, bytes]:
-        split, whole = {}, []
-        for part in new:
-            word = part.rstrip(_TAIL)
-            low = word.lower()  # of some letters, a mark is left that goes with the tail
-            if low.isalpha() and word.isalpha() and len(word) <= CACHE_CHARS:
-                split[part] = (low if word.isascii() else word, part[len(word) :])
-            else:
-                whole.append(part)
-        known = {w: self.words.get(w) for pair in split.values() for w in pair if w}
-        fresh = self._words([w for w, ids in known.items() if ids is None])
-        for word, ids in fresh.items():
-            self.words.put(word, ids)
-        known.update(fresh)
-        known[""] = b""
-        found = {part: known[word] + known[tail] if tail else known[word] for part, (word, tail) in split.items()}
-        for at in range(0, len(whole), 5000):
-            some = whole[at : at + 5000]
-            found.update(zip(some, (x.tobytes() for x in self._ids(some)), strict=True))
-        return found
+    def encode_array(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, ``end`` behind each of them, one text after another, and where each of them ends."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        parts = coded.dictionary
+        word, tail = pc.extract_regex(parts, _WORD_AND_TAIL).flatten()
+        is_word = pc.fill_null(pc.less_equal(pc.utf8_length(word), CACHE_CHARS), False)
+        words, tails = pc.utf8_lower(word.filter(is_word)).dictionary_encode(), tail.filter(is_word).dictionary_encode()
+        whole = parts.filter(pc.invert(is_word)).to_pylist()
+        by_word = self._known(self.words, words.dictionary.to_pylist(), self._by_model)
+        by_tail = self._known(self.parts, tails.dictionary.to_pylist(), self._by_library)
+        pieces = [b"", end, *by_word, *by_tail, *self._known(self.parts, whole, self._by_library)]
+        # Of each distinct part, and then of the end, two pieces.
+        at = np.zeros((len(parts) + 1, 2), np.int64)
+        at[-1, 0] = 1
+        mask = np.append(is_word.to_numpy(zero_copy_only=False), False)
+        at[mask, 0] = 2 + words.indices.to_numpy()
+        at[mask, 1] = 2 + len(by_word) + tails.indices.to_numpy()
+        at[:-1][~mask[:-1], 0] = 2 + len(by_word) + len(by_tail) + np.arange(len(whole))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat, ends = _gather(np.frombuffer(b"".join(pieces), "<u4"), sizes, at.ravel())
+        sizes = np.diff(ends[1::2], prepend=0)
+        stops = split.offsets.to_numpy()[1:]
+        picked = np.insert(coded.indices.to_numpy().astype(np.int64), stops, len(parts))
+        ids, ends = _gather(flat, sizes, picked)
+        return ids, ends[stops + np.arange(len(stops))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        memory = self.parts
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(memory.young.get, parts)) for parts in split]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        asked = {p for i in lacking for p, ids in zip(split[i], found[i], strict=True) if ids is None}
-        known = {p: memory.old.get(p) for p in asked}
-        known.update(self._new_parts([p for p, ids in known.items() if ids is None]))
-        for i in lacking:
-            found[i] = [known[p] if ids is None else ids for p, ids in zip(split[i], found[i], strict=True)]
-        for part, ids in known.items():
-            if len(part) <= CACHE_CHARS:
-                memory.put(part, ids)
-        return list(map(b"".join, found))
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
+
+
+def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``CHUNK_BYTES`` of text, or of one row."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    first = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > CHUNK_BYTES:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if len(sizes):
+        yield batch.slice(first)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -137,12 +160,10 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_
             _ENCODERS[tokenizer] = Encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         place = before = 0
-        for batch in batches:
-            encoded = [x + end for x in _ENCODERS[tokenizer].encode(batch.column(1).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in encoded], np.int64)
-            ends = np.cumsum(sizes)
-            flat = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), flat)
+        for batch in (c for b in batches for c in _chunks(b, 1)):
+            ids, ends = _ENCODERS[tokenizer].encode_array(batch.column(1), end)
+            sizes = np.diff(ends, prepend=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -152,7 +173,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_
                 ["doc_id", "part", "place", "in_part", "n_tokens", "ids"],
             )
             place += n
-            before += int(ends[-1]) if n else 0
+            before += int(ends[-1])
 
     rows = map_batches(ordered, work, "doc_id long, part int, place long, in_part long, n_tokens long, ids array<int>")
     rows.write.options(**WRITER).parquet(path)
