@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from helpers import clashing, no_docs, odd_docs
@@ -112,3 +113,26 @@ def test_small_memory_gives_equal_ids(monkeypatch):
         texts = ["".join(rng.choice(parts) + rng.choice(" \n\t  ") for _ in range(rng.randrange(12))) for _ in range(5)]
         want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert encoder.encode(texts) == want
+
+
+def test_every_letter_gives_equal_ids():
+    path = tokenizer_file("word_bpe_49k.json")
+    letters = [w for c in range(0x80, 0x250) for w in (chr(c), f"Q{chr(c)}x!!", f"{chr(c)}\u0301.", f"é\x0b!!\x0c{chr(c)}")]
+    library = Tokenizer.from_file(path)
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in letters]
+    assert tokens_out.Encoder(path).encode(letters) == want and tokens_out.Encoder(path).encode([]) == []
+
+
+def test_chunks_keep_every_row(monkeypatch):
+    monkeypatch.setattr(tokens_out, "CHUNK_BYTES", 20)
+    texts = ["", "a b", "x" * 70, "The  end.", "", "y" * 15] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    chunks = list(tokens_out._chunks(batch, 1))
+    assert [t for c in chunks for t in c.column(1).to_pylist()] == texts and len(chunks) > 4
+    assert all(c.num_rows == 1 or sum(map(len, c.column(1).to_pylist())) <= 20 for c in chunks)
+    assert list(tokens_out._chunks(batch.slice(0, 0), 1)) == []
+    encoder, library = tokens_out.Encoder(tokenizer_file("word_bpe_49k.json")), Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    for c in chunks:
+        ids, ends = encoder.encode_array(c.column(1), np.array([1], "<u4").tobytes())
+        want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in c.column(1).to_pylist()]
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
