@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows in one Arrow batch: a batch of texts stays at some megabytes even where documents are long.
@@ -83,6 +84,36 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(work, schema)
 
 
+def with_code(df: DataFrame, text: str, name: str, code: Callable[[bytes], int]) -> DataFrame:
+    """``df`` with a long column ``name``: ``code`` of each text as signed 64 bits, null texts as empty ones."""
+    place = df.columns.index(text)
+    names = [*df.columns, name]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode() if isinstance(t, str) else t or b"" for t in batch.column(place).to_pylist()]
+            found = np.array([code(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return map_batches(df, work, f"{fields}, `{name}` long")
+
+
+def heads_only(docs: DataFrame, heads: DataFrame, key: str, text: str, code: Callable[[bytes], int]) -> DataFrame:
+    """Rows of ``docs`` that ``heads`` (``doc_id``, ``code``, ``times``: rows of that id and code) names, one for each: of several,
+    the one with the least text. Rows without an id stay. The columns are those of ``docs``."""
+    name, times, n = free_name(docs, "code"), free_name(docs, "times"), heads.count()
+    side = small_or_plain(heads.select(F.col("doc_id").alias("__head"), F.col("code").alias("__code"), F.col("times").alias("__times")), n)
+    coded = with_code(docs.where(F.col(f"`{key}`").isNotNull()), text, name, code)
+    kept = coded.join(side, (F.col(f"`{key}`") == F.col("__head")) & (F.col(f"`{name}`") == F.col("__code")))
+    once = kept.where("__times = 1").select(docs.columns)
+    if not heads.where("times > 1").isEmpty():
+        rank = F.row_number().over(Window.partitionBy("__head", "__code").orderBy(f"`{text}`"))
+        several = kept.where("__times > 1").withColumn(times, rank).where(F.col(f"`{times}`") == 1)
+        once = once.unionByName(several.select(docs.columns))
+    return once.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+
+
 def small_or_plain(side: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a written side whose counted rows are few; no hint otherwise."""
     return F.broadcast(side) if rows <= SMALL_ROWS else side

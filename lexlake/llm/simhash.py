@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import blank_words, map_batches, small_or_plain, text_bytes
+from lexlake.llm.common import blank_words, heads_only, map_batches, small_or_plain, text_bytes
 from lexlake.llm.components import connected_components
 from lexlake.session import written
 
@@ -217,31 +218,34 @@ def link_fingerprints(codes: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     return map_batches(buckets, work, "u long, v long")
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, hot: int = HOT_BUCKET) -> DataFrame:
-    """(``doc_id``, ``fp``, ``component_id``) of every row: the least id reachable over links of two bits or fewer.
-
-    Null or blank texts have fingerprint 0 and link like any other; equal texts have equal fingerprints and are compared once. Rows
-    with a null id keep their fingerprint and get the component of their code (null if no row of it has an id); repeated rows stay.
-    """
+def _rooted(docs: DataFrame, key: str, text: str, shingle: int, hot: int) -> DataFrame:
+    """(``doc_id``, ``fp``, ``component_id``, ``root``) of every row; ``root`` is a fingerprint that only one component has."""
     found = written(fingerprints(docs, key, text, shingle), "fingerprints")
     codes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
     roots = written(connected_components(link_fingerprints(codes.select("fp"), hot)), "roots")
     n = roots.count()
     linked = codes.join(small_or_plain(roots, n), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(linked.select("fp", "root").join(ids, "root").select("fp", "component_id"), "components")
-    return found.join(small_or_plain(named, named.count()), "fp", "left").select("doc_id", "fp", "component_id")
+    named = written(linked.select("fp", "root").join(ids, "root").select("fp", "component_id", "root"), "components")
+    return found.join(small_or_plain(named, named.count()), "fp", "left").select("doc_id", "fp", "component_id", "root")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the row of its least id (of rows with that id, the one with the least text).
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, hot: int = HOT_BUCKET) -> DataFrame:
+    """(``doc_id``, ``fp``, ``component_id``) of every row: the least id reachable over links of two bits or fewer.
 
-    Rows without an id cannot be told apart and stay. The columns are those of ``docs``.
+    Null or blank texts have fingerprint 0 and link like any other; equal texts have equal fingerprints and are compared once. Rows
+    with a null id keep their fingerprint and get the component of their code (null if no row of it has an id); repeated rows stay.
     """
-    from pyspark.sql.window import Window
+    return _rooted(docs, key, text, shingle, hot).select("doc_id", "fp", "component_id")
 
-    heads = written(near_components(docs, key, text).where("doc_id = component_id").select("doc_id").distinct(), "heads")
-    side = small_or_plain(heads.withColumnRenamed("doc_id", "__head"), heads.count())
-    kept = docs.join(side, F.col(f"`{key}`") == F.col("__head"), "left_semi")
-    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy(f"`{key}`").orderBy(f"`{text}`"))).where("__n = 1")
-    return once.drop("__n").unionByName(docs.where(F.col(f"`{key}`").isNull()))
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component: a row of its least id.
+
+    Components are told apart by fingerprint, so an id may be repeated over unlike texts and each keeps its row. Of rows with that id
+    in one component the least fingerprint and then the least text stays. Rows without an id cannot be told apart and stay. The columns are those of ``docs``.
+    """
+    own = _rooted(docs, key, text, shingle, HOT_BUCKET).where("doc_id = component_id")
+    per = own.groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("times"))
+    least = per.groupBy("root").agg(F.min(F.struct("doc_id", F.col("fp").alias("code"), "times")).alias("h"))
+    return heads_only(docs, written(least.select("h.*"), "heads"), key, text, partial(fingerprint, shingle=shingle))

@@ -112,3 +112,13 @@ def test_odd_rows(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({i for i in ids if i is not None}) and 9 in ids and 4 not in ids and None in ids
     assert s.near_components(no_docs(spark)).count() == 0
+
+
+A = " ".join(f"apple{i}" for i in range(60))
+B = " ".join(f"birch{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("rows", [[(3, A), (5, A), (5, B)], [(5, A), (5, B)], [(5, A), (5, A), (5, B), (6, B)]])
+def test_repeated_ids_keep_a_row_of_each_component(spark, rows):
+    kept = [r["text"] for r in s.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [A, B]
