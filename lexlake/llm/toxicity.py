@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from lexlake.llm.common import free_name, map_batches, plain_table, text_bytes
 from lexlake.llm.labelled import fit_sample, held_out
 from lexlake.llm.trees import Tree, boost, isotonic, sigmoid
+from lexlake.session import written
 
-# Terms of the learned lexicon at most, and the documents of label 1 that a term needs: a number and a share.
+# Whole words of the learned lexicon at most, as many beginnings of each length, and the documents of label 1 that a term needs: a number and a share.
 LEXICON_TERMS = 500
 LEAST_DOCUMENTS = 5
 LEAST_SHARE = 0.005
@@ -26,6 +28,8 @@ LEAST_RATIO = 20.0
 # Beginnings of words, in bytes, that count as terms besides whole words.
 PREFIXES = (4, 5, 6, 8)  # ascending
 NEAR = 5
+# Words of the window whose hits count: a short passage counts alike in a short and in a long text.
+WINDOW = 50
 ROUNDS, DEPTH = 60, 3
 
 # Words that address the reader.
@@ -36,7 +40,8 @@ SECOND_PERSON = frozenset(
 LOOKALIKES = bytes.maketrans(b"0134578@$!", b"oieastbasi")
 
 FEATURES = (
-    "lexicon_words", "lexicon_prefixes", "lexicon_any", "lexicon_strength", "hidden_terms", "near_reader", "reader_words",
+    "lexicon_words", "lexicon_prefixes", "lexicon_any", "lexicon_strength", "hidden_terms", "near_reader",
+    "log_hits", "log_hidden", "log_near", "reader_words",
     "capitals", "exclamations", "punctuation", "mixed_words", "masked", "spaced", "stretched", "log_words",
 )
 
@@ -83,8 +88,22 @@ def terms(text: bytes) -> set[bytes]:
     return words.union(*[{b"^" + w[:size] for w in words if len(w) >= size} for size in PREFIXES])
 
 
+def densest(places: list[int], n: int, weights: list[float] | None = None) -> float:
+    """Largest sum of weights (1 each by default) over ``WINDOW`` of ``n`` words in a row, per word; ``places`` ascend."""
+    if not places:
+        return 0.0
+    at = np.array(places)
+    total = np.concatenate(([0.0], np.cumsum(np.ones(len(at)) if weights is None else weights)))
+    ends = np.searchsorted(at, at + WINDOW, side="left")
+    return float((total[ends] - total[:-1]).max() / min(n, WINDOW))
+
+
 def features(text: bytes, lexicon: Lexicon) -> list[float]:
-    """Values of ``FEATURES`` for a UTF-8 text; rates per word or per byte, zeros for an empty text."""
+    """Values of ``FEATURES`` for a UTF-8 text, zeros for an empty one.
+
+    Lexicon and reader hits are taken as the densest window of the whole text and as logs of their numbers, which do not thin out
+    with length; the others are rates per word or per byte.
+    """
     lower = text.decode(errors="replace").lower().encode()
     words = _words(lower)
     n = len(words)
@@ -98,29 +117,32 @@ def features(text: bytes, lexicon: Lexicon) -> list[float]:
         kind, strength = lexicon.find(w)
         if kind:
             known[w] = (kind, strength)
-    whole = begun = near = 0
-    strength = 0.0
+    hits, strengths, whole, begun, near = [], [], [], [], []
     readers = [w in SECOND_PERSON for w in words] if not distinct.isdisjoint(SECOND_PERSON) else None
     if known:
         for i, w in enumerate(words):
             if w in known:
                 kind, s = known[w]
-                whole += kind == 1
-                begun += kind == 2
-                strength += s
+                hits.append(i)
+                strengths.append(s)
+                (whole if kind == 1 else begun).append(i)
                 if readers is not None and any(readers[max(0, i - NEAR) : i + NEAR + 1]):
-                    near += 1
+                    near.append(i)
     # What only shows once lookalikes are letters again and inner marks are gone.
     bare = lower.translate(LOOKALIKES, _INNER)
-    hidden = 0
+    hidden, unmasked = [], n
     if bare != lower:
-        hidden = sum(lexicon.find(w)[0] > 0 for w in set(_words(bare)) - distinct if w[: PREFIXES[0]] in start)
+        plain = _words(bare)
+        found = {w for w in set(plain) - distinct if w[: PREFIXES[0]] in start and lexicon.find(w)[0]}
+        if found:
+            hidden, unmasked = [i for i, w in enumerate(plain) if w in found], len(plain)
     letters = size - len(text.translate(None, _LETTERS))
     mixed_words = len(_MIXED.findall(lower)) if size != len(text.translate(None, _DIGITS)) else 0
     singles = list(map(len, words)).count(1)
     stretched = len(_STRETCHED.findall(lower))
     return [
-        whole / n, begun / n, (whole + begun) / n, strength / n, hidden / n, near / n,
+        densest(whole, n), densest(begun, n), densest(hits, n), densest(hits, n, strengths), densest(hidden, unmasked), densest(near, n),
+        *np.log1p([len(hits), len(hidden), len(near)]).tolist(),
         sum(readers) / n if readers is not None else 0.0,
         (size - len(text.translate(None, _UPPER))) / max(letters, 1),
         text.count(b"!") / size,
@@ -140,7 +162,10 @@ def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def learn_lexicon(sample: DataFrame, limit: int = LEXICON_TERMS) -> Lexicon:
-    """Terms that tell label 1 from 0 in the sample: counted per task, summed by term, and only the best reach the driver."""
+    """Terms that tell label 1 from 0 in the sample: counted per task, summed by term, and only the best reach the driver.
+
+    At most ``limit`` whole words, and as many beginnings of each length.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,15 +185,17 @@ def learn_lexicon(sample: DataFrame, limit: int = LEXICON_TERMS) -> Lexicon:
     summed = map_batches(rows, count, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     zeros, ones = totals.get(0, 0), totals.get(1, 0)
     ratio = F.log((F.col("n1") + 0.5) / (ones + 1.0)) - F.log((F.col("n0") + 0.5) / (zeros + 1.0))
-    best = (
+    good = written(
         summed.where(F.col("n1") >= max(LEAST_DOCUMENTS, LEAST_SHARE * ones))
         .withColumn("ratio", ratio)
         .where(F.col("ratio") >= float(np.log(LEAST_RATIO)))
-        .where(F.col("n1") >= 20 * F.col("n0"))
-        .orderBy(F.desc(F.col("n1") - 20 * F.col("n0")), "term")
-        .limit(limit)
-        .collect()
+        .where(F.col("n1") >= 20 * F.col("n0")),
+        "terms",
     )
+    # The bound holds for whole words and for the beginnings of each length on their own, so these take no place from words.
+    kind = F.when(F.substring("term", 1, 1) == F.lit(b"^"), F.length("term") - 1).otherwise(0)
+    ranked = [good.where(kind == k).orderBy(F.desc(F.col("n1") - 20 * F.col("n0")), "term").limit(limit) for k in (0, *PREFIXES)]
+    best = reduce(DataFrame.union, ranked).collect()
     words, prefixes = {}, {size: {} for size in PREFIXES}
     for r in best:
         term = bytes(r["term"])

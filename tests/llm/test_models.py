@@ -76,3 +76,26 @@ def test_few_or_no_labels_and_odd_rows(spark, rows):
     none = no_docs(spark)
     assert quality_model.score_quality(none, quality_model.train_quality(none, known)).count() == 0
     assert toxicity.toxicity(none, known).count() == 0
+
+
+def test_short_toxic_passage_shows_in_a_long_text(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train_toxicity(docs, labels)
+    known = docs.join(labels, "doc_id").orderBy("doc_id").select("text", "toxic").limit(2000).collect()
+    value = lambda t: float(model.score(np.array([toxicity.features(t.encode(), model.lexicon)]))[0])
+    seen = [r["text"] for r in known if r["toxic"] == 1 and value(r["text"]) >= 0.5][:20]
+    calm = [r["text"] for r in known if r["toxic"] == 0 and value(r["text"]) < 0.1]
+    long = " ".join(w for t in calm for w in t.split())
+    words = long.split()[:10_000]
+    assert len(seen) >= 5 and len(words) == 10_000 and value(" ".join(words)) < 0.5
+    hidden = [value(" ".join([*words[:5000], t, *words[5000:]])) for t in seen]
+    assert sum(v >= 0.5 for v in hidden) >= 0.9 * len(seen)
+
+
+def test_lexicon_bound_counts_words_without_their_beginnings(spark):
+    insults = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}{i:03d}xyzuvw" for i in range(150)]
+    rows = [(i * 6 + k, f"{w} filler{i}a{k} other{k}b{i}", 1) for i, w in enumerate(insults) for k in range(6)]
+    rows += [(10_000 + i, f"calm words number{i} here{i}", 0) for i in range(3000)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert {w.encode() for w in insults} <= set(toxicity.learn_lexicon(sample).words)
