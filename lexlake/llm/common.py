@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Rows in one Arrow batch: a batch of texts stays at some megabytes even where documents are long.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 # A side is broadcast only below this many rows of a few bytes each; beyond it, the join is shuffled.
 SMALL_ROWS = 1_000_000
@@ -78,9 +80,10 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("binary"), F.lit(b""))
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of ``BATCH_ROWS`` rows."""
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows and, a single row aside, ``BATCH_BYTES`` bytes."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(work, schema)
 
 

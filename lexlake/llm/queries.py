@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import chat, decontaminate, host_rules, mixing, quality_model, simhash, suffix, tokencount, tokens_out, toxicity
+from lexlake.llm import (
+    chat, collocations, decontaminate, host_rules, mixing, quality_model, simhash, suffix, tokencount, tokens_out, toxicity, turn_repair, url_rules,
+)
 from lexlake.llm.common import table
 
 # What both turns of the added conversation -1 say.
@@ -165,11 +167,146 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_out.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report = turn_repair.repair_report(turn_repair.repair_turns(turn_repair.damage(turns)))
+    every = turns.select("conv_id").distinct().alias("e")
+    done = every.join(report.alias("r"), F.col("e.conv_id").eqNullSafe(F.col("r.conv_id")), "left")
+    numbers = [F.coalesce(F.col(f"r.{n}"), F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return done.select(
+        "e.conv_id", *numbers, F.coalesce("r.audit", F.lit("")).alias("audit"), F.coalesce("r.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
+def _op11_sql() -> str:
+    """The damage, then least costs with their edits from the last row to the first, by state: nothing, after s, after u, after a.
+
+    A value is the cost in eight digits and the edits, so that the least one by its bytes is the cheapest and then the first in ASCII.
+    """
+    then = {0: 2, 1: 2, 2: 3, 3: 2}
+    add = lambda v, c, e: f"(lpad(cast(cast({v}[1:8] as integer) + {c} as varchar), 8, '0') || '{e}' || {v}[9:])"
+    keeps = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    extra = "case when fault = 't' then 1 else 0 end"
+    far = "'99999999'"
+    edits = []
+    for q in range(4):
+        kept = " ".join(f"when ini = '{i}' then {add(f'v{to}', extra, 'K')}" for i, to in keeps[q].items())
+        ways = [add(f"v{q}", 3, "D"), f"case when fault in ('b', 'd') then {far} else {add(f'v{then[q]}', f'2 + {extra}', 'R')} end"]
+        ways.append(f"case when fault in ('b', 'd') then {far} {kept} else {far} end")
+        edits.append(f"least({', '.join(ways)}) as w{q}")
+    once = ", ".join(f"least(w{q}, {add(f'w{then[q]}', 2, 'I')}) as x{q}" for q in range(4))
+    twice = ", ".join(f"least(x{q}, {add(f'x{then[q]}', 2, 'I')}) as v{q}" for q in range(4))
+    byte = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))"
+    blanks = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+with recursive src as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         encode(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')) as k from conversations),
+coded as (
+  select *, xor(list_reduce(list_concat([4294967295], [cast(ascii(x) as bigint) for x in string_split(decode(k), '')]), lambda c, b: {byte}), 4294967295) % 20 as d from src),
+hurt as (
+  select conv_id, turn, case when d = 4 then 'user' else role end as role,
+         case d when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case d when 0 then 0 when 3 then 2 else 1 end)) as copy from coded),
+rows as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as p, count(*) over (partition by conv_id) as n,
+         rtrim(text, {blanks}) as cut, role[1] as ini from hurt),
+marked as (
+  select *, case when cut = '' then 'b' when row_number() over (partition by conv_id, role, text order by p) > 1 then 'd'
+                 when right(cut, 1) not in ('.', '!', '?') then 't' else '' end as fault,
+         lag(ini) over (partition by conv_id order by p) || ini as pair from rows),
+stat as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank,
+         count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated,
+         count(*) filter (where p > 1 and pair not in ('su', 'ua', 'au')) as illegal from marked group by conv_id),
+walk as (
+  select conv_id, n as p, '00000000' as v0, '00000004II' as v1, '00000002I' as v2, '00000000' as v3 from (select distinct conv_id, n from rows)
+  union all
+  select conv_id, p, {twice} from (
+    select conv_id, p, {once} from (
+      select w.conv_id, w.p - 1 as p, {', '.join(edits)} from walk w join marked m on m.conv_id is not distinct from w.conv_id and m.p = w.p))),
+best as (select conv_id, cast(v0[1:8] as bigint) as cost, v0[9:] as audit from walk where p = 0),
+steps as (
+  select conv_id, nr, edit, count(*) filter (where edit <> 'I') over (partition by conv_id order by nr) as p,
+         count(*) filter (where edit <> 'D') over (partition by conv_id order by nr) as o from (
+    select conv_id, audit[i] as edit, i as nr from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as i from best))),
+said as (
+  select s.conv_id, s.nr, s.edit, case when s.edit = 'K' then m.role end as kept, case when s.edit = 'I' then '' else m.text end as text, s.o,
+         max(case when s.edit = 'K' and m.ini = 's' then 1 else 0 end) over (partition by s.conv_id) as sys
+  from steps s left join marked m on s.edit <> 'I' and m.conv_id is not distinct from s.conv_id and m.p = s.p),
+told as (
+  select conv_id, string_agg(coalesce(kept, case when (o - sys) % 2 = 1 then 'user' else 'assistant' end) || ':' || text, chr(10) order by nr) as s
+  from said where edit <> 'D' group by conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(s, '')) as repaired_sha256
+from (select distinct conv_id from conversations) e
+left join stat on stat.conv_id is not distinct from e.conv_id
+left join best on best.conv_id is not distinct from e.conv_id
+left join told on told.conv_id is not distinct from e.conv_id"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+with pieces as (
+  select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select row_number() over () as piece_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as hugeint) as n from words group by lang),
+f as (
+  select lang, phrase, len, count(*) as a from (
+    select lang, len, unnest([array_to_string(w[k:k + len - 1], ' ') for k in range(1, len(w) - len + 2)]) as phrase
+    from words, (select unnest(range(1, 6)) as len) where len(w) >= len)
+  group by lang, phrase, len having count(*) >= 100),
+parts as (select lang, phrase, len, a, string_split(phrase, ' ') as w from f),
+cuts as (
+  select c.lang, c.phrase, c.len, c.a, c.k, l.a as l, r.a as r, n, 1000::hugeint * c.a * n // (cast(l.a as hugeint) * r.a) as score
+  from (select *, unnest(range(1, len)) as k from parts where len > 1) c join totals using (lang)
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[:c.k], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (
+  select distinct f.lang, f.phrase from (
+    select lang, a, unnest(flatten([[array_to_string(w[i:i + m - 1], ' ') for i in range(1, len - m + 2)] for m in range(2, len)])) as part from parts where len > 2) x
+  join f on f.lang = x.lang and f.phrase = x.part and 100 * x.a >= 100 * f.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from best where not exists (select 1 from held where held.lang = best.lang and held.phrase = best.phrase)
+qualify rank <= 2000"""
+
+# The rules of the query: host, path and verdict.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    done = url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return done.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP13_SQL = f"""
+with rules(host, path, verdict) as (values {", ".join(str(r) for r in URL_RULES)}),
+u as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (
+  select row_number() over () as nr, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u)
+select page_id, p.host, p.path, r.host || r.path as rule, coalesce(r.verdict, 'allow') as verdict
+from p left join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+qualify row_number() over (partition by nr order by len(string_split(r.host, '.')) desc, length(r.path) desc) = 1"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_decontaminate, op3_simhash, op4_token_count, op5_quality, op6_mix, op7_toxicity, op8_host_rules,
-        op9_suffix_dedup, op10_token_output,
+        op9_suffix_dedup, op10_token_output, op11_turn_repair, op12_collocations, op13_url_filter,
     )
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_mix": OP6_SQL, "op8_host_rules": OP8_SQL}
+SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_mix": OP6_SQL, "op8_host_rules": OP8_SQL, "op11_turn_repair": OP11_SQL,
+    "op12_collocations": OP12_SQL, "op13_url_filter": OP13_SQL,
+}
