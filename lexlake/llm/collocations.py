@@ -19,7 +19,7 @@ WORDS = 5
 TOP = 2000
 NO_LANG = "und"
 # Words that one task holds at a time; whole documents, so a longer one is a chunk of its own.
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 20
 # Ranks along the side of a tile, and the pairs from which a tile is counted by direct address.
 TILE = 256
 DENSE = TILE * TILE // 16
@@ -333,7 +333,8 @@ def ranked(df: DataFrame, group: str, order: list[Column], name: str) -> DataFra
 
 def _frequent(chunks: DataFrame, least: int, units: type) -> DataFrame:
     """(``lang``, ``bucket``, ``key``, ``a``, ``id``) of the frequent units, ranked by frequency."""
-    return written(ranked(_sums(chunks, least, units), "lang", [F.desc("a"), F.asc("key")], "id"), "frequent")
+    # Written first: dealing by ranges reads its input twice.
+    return written(ranked(written(_sums(chunks, least, units), "sums"), "lang", [F.desc("a"), F.asc("key")], "id"), "frequent")
 
 
 def _with_ids(chunks: DataFrame, frequent: DataFrame, units: type) -> DataFrame:
