@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexlake.functions.text import strip
+from lexlake.sources.splits import delimited_records, envelope_records
 
 _CSV = {
     "header": "true",
@@ -21,25 +22,39 @@ _CSV = {
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t", multiline: bool = True
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = "\t", multiline: bool = True
 ) -> DataFrame:
     """Delimited text with a header and a given schema; only the empty cell is null.
 
     Columns are found by the names in the header line, whatever their order and number; a missing one
-    is an error. Quoted cells may hold line breaks. Tables known to have none should pass
-    ``multiline=False``, so that Spark can split a large file. All files of ``path`` need one header; see ``read_runs``.
+    is an error. Quoted cells may hold line breaks; a large file is read in many tasks all the same, after a first pass that finds where records
+    begin. Tables known to have no such cells should pass ``multiline=False``, which saves that pass. All files of ``path`` need one header; see ``read_runs``.
     """
     options = {**_CSV, "sep": sep, "multiLine": str(multiline).lower()}
-    return by_header(spark.read.options(**options), path, schema)
+    if not multiline:
+        return by_header(spark.read.options(**options), path, schema)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    # Asking for the columns reads the first record of one file.
+    columns = spark.read.options(**options).option("inferSchema", "false").csv(path).columns
+    _all_there(wanted, columns, path)
+    cells = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+    parsing = {k: v for k, v in {**_CSV, "sep": sep}.items() if k not in ("header", "encoding", "multiLine")}
+    # The parser takes a record for one line only up to the first character of this, which no text file holds.
+    rows = delimited_records(spark, path, sep).where(~F.col("first")).select(F.from_csv("text", cells, {**parsing, "lineSep": "\x00"}).alias("r"))
+    return rows.select(*[F.col(f"r.`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def _all_there(wanted: T.StructType, columns: list[str], path: str | list[str]) -> None:
+    lacking = [f.name for f in wanted if f.name not in columns]
+    if lacking:
+        raise ValueError(f"no column {', '.join(lacking)} in {path}")
 
 
 def by_header(reader: DataFrameReader, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """The columns of ``schema`` from files with a header, by name; cells are read as text and cast."""
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     raw = reader.option("inferSchema", "false").csv(path)
-    lacking = [f.name for f in wanted if f.name not in raw.columns]
-    if lacking:
-        raise ValueError(f"no column {', '.join(lacking)} in {path}")
+    _all_there(wanted, raw.columns, path)
     cast = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
     return raw.select(*[cast(f) for f in wanted])
 
@@ -51,18 +66,16 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t") -> None:
     ).csv(path)
 
 
-def read_envelope(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of JSON documents ``{"metadata": ..., "data": [...]}``."""
+def read_envelope(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """Rows of JSON documents ``{"metadata": ..., "data": [{...}, ...]}``: one document per line, or documents over many lines.
+
+    Both are read in many tasks, whatever the size of a file or a document; see ``envelope_records``. A line that cannot be read, or has no
+    ``data``, gives no rows and takes no others with it.
+    """
     outer = T.StructType([T.StructField("data", T.ArrayType(schema))])
-    # One document per line reads in splits; a file that is one document over many lines is read whole.
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", outer)["data"].alias("data"))
-    names = [r["_file"] for r in lines.where(F.col("data").isNull()).select("_file").distinct().collect()]  # file names only
-    rows = lines.where(~F.col("_file").isin(names)).select(F.inline("data"))
-    if not names:
-        return rows
-    whole = spark.read.option("multiLine", "true").schema(outer).json([unquote(n) for n in names])
-    return rows.unionByName(whole.select(F.inline("data")))
+    found = envelope_records(spark, path)
+    data = F.when(F.col("by_line"), F.from_json("text", outer)["data"]).otherwise(F.array(F.from_json("text", schema)))
+    return found.select(F.inline(data))
 
 
 def write_envelope(df: DataFrame, path: str, metadata: dict[str, str], rows: int = 10_000) -> None:
