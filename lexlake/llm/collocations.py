@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from lexlake.llm.common import map_batches, text_bytes
 from lexlake.session import written
@@ -36,14 +37,25 @@ _CHUNK = "chunk long, lang string, bucket int, base long, size long, keys binary
 _NAMES = [f.split()[0] for f in _CHUNK.split(", ")]
 
 
+_PACK, _UNPACK = ZstdCompressor(level=1), ZstdDecompressor()
+
+
+def packed(data: bytes) -> bytes:
+    return _PACK.compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return _UNPACK.decompress(data)
+
+
 def planes(numbers: np.ndarray) -> bytes:
     """The first bytes of all numbers, then the second ones and so on: high bytes are mostly zero and pack well."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return packed(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
 
 
 def unplanes(data: bytes, kind: type = np.int64) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 class _Ids(dict):
@@ -122,7 +134,7 @@ def _rows(chunk: int, lang: str, seq: np.ndarray, bucket: np.ndarray, counts: np
     begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else np.zeros(0, np.int64)
     cuts = list(zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True)) if len(order) else []
     keys = [planes(squeeze(number[seq])), *[pack(order[x:y]) for x, y in cuts]]
-    sums = [b"", *[planes(counts[order[x:y]]) for x, y in cuts]]
+    sums = [None, *[planes(counts[order[x:y]]) for x, y in cuts]]
     n = len(keys)
     return pa.RecordBatch.from_arrays(
         [
@@ -147,9 +159,14 @@ def _word_chunks(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal chunk
             for lang, (ids, parts) in held.items():
                 seq = squeeze(np.concatenate(parts))
-                words = list(ids)[1:]
+                # In order of their bytes, so that neighbours share beginnings.
+                words = sorted(list(ids)[1:])
+                order = np.fromiter((ids[w] for w in words), np.int64, len(words))
+                counts = np.bincount(seq, minlength=len(ids))[order]
+                turn = np.zeros(len(ids), np.int32)
+                turn[order] = np.arange(1, len(ids))
                 bucket = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
-                yield _rows(chunk, lang, seq, bucket, np.bincount(seq, minlength=len(ids))[1:], lambda at: b" ".join([words[k] for k in at.tolist()]))  # noqa: B023
+                yield _rows(chunk, lang, turn[seq], bucket, counts, lambda at: packed(b" ".join([words[k] for k in at.tolist()])))  # noqa: B023
                 chunk += 1
             held.clear()
 
@@ -210,7 +227,7 @@ class _Words:
 
     def add(self, keys: bytes, counts: np.ndarray) -> None:
         sums = self.sums
-        for word, n in zip(keys.split(b" "), counts.tolist(), strict=True):
+        for word, n in zip(unpacked(keys).split(b" "), counts.tolist(), strict=True):
             sums[word] += n
 
     def frequent(self, least: int) -> tuple[list, list]:
@@ -220,7 +237,7 @@ class _Words:
     @staticmethod
     def finder(keys: list, ids: list) -> Callable[[bytes], np.ndarray]:
         known = dict(zip(keys, ids, strict=True))
-        return lambda packed: np.fromiter((known.get(w, 0) for w in packed.split(b" ")), np.int64)
+        return lambda cell: np.fromiter((known.get(w, 0) for w in unpacked(cell).split(b" ")), np.int64)
 
 
 class _Pairs:
@@ -253,8 +270,8 @@ class _Pairs:
         order = np.argsort(np.array(keys, np.int64))
         known, numbers = np.array(keys, np.int64)[order], np.array(ids, np.int64)[order]
 
-        def find(packed: bytes) -> np.ndarray:
-            code = np.cumsum(unplanes(packed))
+        def find(cell: bytes) -> np.ndarray:
+            code = np.cumsum(unplanes(cell))
             at = np.minimum(np.searchsorted(known, code), len(known) - 1)
             return np.where(known[at] == code, numbers[at], 0)
 
@@ -295,7 +312,7 @@ def _ids(chunks: DataFrame, frequent: DataFrame, units: type) -> DataFrame:
         now, find, keys, ids = None, None, [], []
         for batch in batches:
             out = []
-            for lang, bucket, chunk, base, packed, key, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, bucket, chunk, base, cell, key, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != (lang, bucket):
                     now, find, keys, ids = (lang, bucket), None, [], []
                 if chunk is None:
@@ -303,7 +320,7 @@ def _ids(chunks: DataFrame, frequent: DataFrame, units: type) -> DataFrame:
                     ids.append(number)
                 elif keys:
                     find = find or units.finder(keys, ids)
-                    found = find(packed)
+                    found = find(cell)
                     some = np.flatnonzero(found)
                     if len(some):
                         out.append((chunk, planes(some + base), planes(found[some])))
