@@ -56,6 +56,9 @@ class Memory:
                 self.put(key, found)
         return found
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def put(self, key, value) -> None:
         if len(self.young) >= self.entries:
             self.old, self.young = self.young, {}
@@ -105,15 +108,16 @@ def with_code(df: DataFrame, text: str, name: str, code: Callable[[bytes], int])
 def heads_only(docs: DataFrame, heads: DataFrame, key: str, text: str, code: Callable[[bytes], int]) -> DataFrame:
     """Rows of ``docs`` that ``heads`` (``doc_id``, ``code``, ``times``: rows of that id and code) names, one for each: of several,
     the one with the least text. Rows without an id stay. The columns are those of ``docs``."""
-    name, times, n = free_name(docs, "code"), free_name(docs, "times"), heads.count()
-    side = small_or_plain(heads.select(F.col("doc_id").alias("__head"), F.col("code").alias("__code"), F.col("times").alias("__times")), n)
+    name, own, head, times = (free_name(docs, wanted) for wanted in ("code_", "head_code_", "head_", "times_"))
+    n = heads.count()
+    side = small_or_plain(heads.select(F.col("doc_id").alias(head), F.col("code").alias(own), F.col("times").alias(times)), n)
     coded = with_code(docs.where(F.col(f"`{key}`").isNotNull()), text, name, code)
-    kept = coded.join(side, (F.col(f"`{key}`") == F.col("__head")) & (F.col(f"`{name}`") == F.col("__code")))
-    once = kept.where("__times = 1").select(docs.columns)
+    kept = coded.join(side, (F.col(f"`{key}`") == F.col(head)) & (F.col(name) == F.col(own)))
+    once = kept.where(F.col(times) == 1).select([F.col(f"`{c}`") for c in docs.columns])
     if not heads.where("times > 1").isEmpty():
-        rank = F.row_number().over(Window.partitionBy("__head", "__code").orderBy(f"`{text}`"))
-        several = kept.where("__times > 1").withColumn(times, rank).where(F.col(f"`{times}`") == 1)
-        once = once.unionByName(several.select(docs.columns))
+        rank = F.row_number().over(Window.partitionBy(head, own).orderBy(f"`{text}`"))
+        several = kept.where(F.col(times) > 1).withColumn(times, rank).where(F.col(times) == 1)
+        once = once.unionByName(several.select([F.col(f"`{c}`") for c in docs.columns]))
     return once.unionByName(docs.where(F.col(f"`{key}`").isNull()))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexlake.llm.common import free_name
+
 # Hex digits of a hash that make a uniform number: 52 bits, exact in a double.
 DIGITS = 13
 
@@ -15,21 +17,37 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("long") / F.lit(16.0**DIGITS)
 
 
-def poisson_steps(rate: Column) -> Column:
-    """Array of P(X <= k) for k = 0, 1, ... as far as a 52-bit uniform number can reach.
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(source, rate, steps) of (source, rate): the array of P(X <= k) for k = 0, 1, ... as far as a 52-bit uniform number can reach.
 
-    The terms are taken as logarithms, so that large rates do not underflow.
+    The terms are rows, taken as logarithms so that large rates do not underflow, and summed once per source; there are about as many as the
+    rate is large. A rate of 0 has the one step 1, which no number reaches.
     """
-    last = F.ceil(rate + F.sqrt(rate) * 12 + 40).cast("int")
-    logs = F.transform(F.sequence(F.lit(1), last), lambda k: F.log(rate) - F.log(k.cast("double")))
-    start = F.struct((-rate).alias("term"), F.array(F.exp(-rate)).alias("sums"))
+    rate = F.col("rate")
+    last = F.when(rate > 0, F.ceil(rate + F.sqrt(rate) * 12 + 40)).otherwise(0).cast("int")
+    rows = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    k = F.col("k").cast("double")
+    in_order = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The logarithm of rate**k / k! is a running sum as well.
+    logs = F.sum(F.when(k > 0, F.log(rate) - F.log(k)).otherwise(0.0)).over(in_order)
+    terms = rows.withColumn("term", F.when(rate > 0, F.exp(logs - rate)).otherwise(1.0))
+    sums = terms.withColumn("upto", F.sum("term").over(in_order))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("k", "upto"))), lambda s: s["upto"])
+    return sums.groupBy("source", "rate").agg(listed.alias("steps"))
+
+
+def steps_upto(steps: Column, number: Column) -> Column:
+    """How many of the ascending ``steps`` are at or below ``number``, by halving."""
+    size = F.size(steps)
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int") + 1)
 
-    def step(acc: Column, more: Column) -> Column:
-        term = acc["term"] + more
-        return F.struct(term.alias("term"), F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + F.exp(term))).alias("sums"))
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = (acc["low"] < acc["high"]) & (F.get(steps, middle) <= number)
+        low = F.when(below, middle + 1).otherwise(acc["low"])
+        return F.struct(low.alias("low"), F.when(below, acc["high"]).otherwise(F.greatest(low, middle)).alias("high"))
 
-    # A rate of 0 leaves the first step at 1, which no number reaches.
-    return F.when(rate > 0, F.aggregate(logs, start, step, lambda acc: acc["sums"])).otherwise(F.array(F.lit(1.0)))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda acc: acc["low"])
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", exponent: float = 0.5, epochs: float = 1.0) -> DataFrame:
@@ -73,12 +91,12 @@ def mix(
         if name in {c.lower() for c in docs.columns}:
             raise ValueError(f"the column {name} is taken")
     rates = source_rates(docs, weights, source, exponent, epochs)
-    steps = rates.select(F.col("source").alias("__source"), F.col("rate").alias("mix_rate"), poisson_steps(F.col("rate")).alias("__steps"))
-    drawn = docs.join(steps, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
+    own, steps, times = (free_name(docs, wanted) for wanted in ("source_", "steps_", "times_"))
+    side = poisson_steps(rates.select("source", "rate")).select(F.col("source").alias(own), F.col("rate").alias("mix_rate"), F.col("steps").alias(steps))
+    drawn = docs.join(side, F.col(f"`{source}`").eqNullSafe(F.col(own)))
     number = uniform(F.col(f"`{key}`"), F.lit(seed), F.lit("copies"))
-    # The steps ascend, so the copies are the steps at or below the number.
-    drawn = drawn.withColumn("__u", number).withColumn("__n", F.size(F.filter("__steps", lambda s: s <= F.col("__u"))))
-    copies = drawn.where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    drawn = drawn.withColumn(times, steps_upto(F.col(steps), number))
+    copies = drawn.where(F.col(times) > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(times))))
     place = F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(str(seed)), F.lit("place"), F.col("copy_no"))), 1, 16)
     keyed = copies.withColumn("mix_key", place).select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no", "mix_key", "mix_rate")
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

@@ -140,9 +140,14 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", out: str = "n_
         if model not in _COUNTERS:
             _COUNTERS[model] = Counter(model)
         counter = _COUNTERS[model]
-        for batch in batches:
-            counts = [counter.count(t or "") for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names)
+        try:
+            for batch in batches:
+                counts = [counter.count(t or "") for t in batch.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names)
+        finally:
+            # Spark uses a worker again for other work.
+            counter.seen.forget()
+            counter.seen_lines.forget()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return map_batches(docs, work, f"{fields}, `{out}` long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,6 +38,19 @@ WRITER = {
     "parquet.page.row.count.limit": "5000",
 }
 
+# The normalizer and the pre-tokenizer of the word tokenizer's file, for which ``Encoder`` takes texts apart.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 # Letters, each of them one code point that composes with nothing before it and has one lower-case letter.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 # Such letters and the ASCII marks that end a word as one token string of their own.
@@ -57,7 +71,8 @@ class Encoder:
     The tokenizer of the file replaces blanks and splits at them, so these parts are encoded by themselves, each
     distinct part of a chunk once. It also splits between letters and marks: a word of ``_LETTERS`` followed by marks is
     the ids of both. To such a word, the steps before the merges only change letters to lower case and to the byte
-    letters of the library, so both are done to many words at once and the words go to the model of the tokenizer directly.
+    letters of the library, so both are done to many words at once and the words go to the model of the tokenizer directly. A file
+    with other rules than ``NORMALIZER`` and ``PRE_TOKENIZER`` is used through the library alone, text by text.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,6 +83,14 @@ class Encoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x180)}
         self.parts, self.words = Memory(CACHE_PARTS), Memory(CACHE_WORDS)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        # Only these rules allow taking texts apart here; under any others the library gets whole texts.
+        self.by_parts = (rules["normalizer"], rules["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+
+    def forget(self) -> None:
+        self.parts.forget()
+        self.words.forget()
 
     def _by_library(self, parts: list[str]) -> list[bytes]:
         encode = self.tokenizer.encode_batch_fast
@@ -95,6 +118,9 @@ class Encoder:
 
     def encode_array(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` behind each of them, one text after another, and where each of them ends."""
+        if not self.by_parts:
+            found = [ids + end for ids in self._by_library(texts.to_pylist())]
+            return np.frombuffer(b"".join(found), "<u4"), np.cumsum([len(f) // 4 for f in found], dtype=np.int64)
         split = pc.ascii_split_whitespace(texts)
         coded = split.values.dictionary_encode()
         parts = coded.dictionary
@@ -158,10 +184,17 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_
         part = TaskContext.get().partitionId()
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
+        try:
+            yield from encoded(batches, part, _ENCODERS[tokenizer])
+        finally:
+            # Spark uses a worker again for other work.
+            _ENCODERS[tokenizer].forget()
+
+    def encoded(batches: Iterator[pa.RecordBatch], part: int, encoder: Encoder) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         place = before = 0
         for batch in (c for b in batches for c in _chunks(b, 1)):
-            ids, ends = _ENCODERS[tokenizer].encode_array(batch.column(1), end)
+            ids, ends = encoder.encode_array(batch.column(1), end)
             sizes = np.diff(ends, prepend=0)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))
             n = len(sizes)

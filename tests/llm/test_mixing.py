@@ -10,7 +10,10 @@ from lexlake.llm import mixing
 
 @pytest.mark.parametrize("rate", [0.0, 0.3, 4.0, 900.0])
 def test_steps_are_the_distribution(spark, rate):
-    steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate))).first()[0]
+    rates = spark.createDataFrame([("a", rate), (None, rate)], "source string, rate double")
+    both = {r["source"]: r["steps"] for r in mixing.poisson_steps(rates).collect()}
+    assert both["a"] == both[None]
+    steps = both["a"]
     if not rate:
         assert steps == [1.0]
         return
@@ -21,6 +24,20 @@ def test_steps_are_the_distribution(spark, rate):
     assert steps == pytest.approx(want, abs=1e-9) and steps[-1] > 1 - 1e-12
 
 
+def test_copies_are_the_steps_at_or_below_a_number(spark):
+    steps = [0.1, 0.1, 0.25, 0.5, 1.0]
+    numbers = [0.0, 0.05, 0.1, 0.2, 0.25, 0.4, 0.5, 0.99, 1.0]
+    rows = spark.createDataFrame([(u,) for u in numbers], "u double").select("u", mixing.steps_upto(F.array(*[F.lit(s) for s in steps]), F.col("u")).alias("n"))
+    assert {r["u"]: r["n"] for r in rows.collect()} == {u: sum(s <= u for s in steps) for u in numbers}
+
+
+def test_a_rare_source_with_a_large_weight(spark):
+    docs = spark.range(30000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "rare").otherwise("big").alias("source"))
+    weights = spark.createDataFrame([("big", 1.0), ("rare", 9.0)], "source string, weight double")
+    n = {r["source"]: r["count"] for r in mixing.mix(docs, weights).groupBy("source").count().collect()}
+    assert abs(n["rare"] - 27000) < 1000 and abs(n["big"] - 3000) < 300
+
+
 def test_shares_follow_weights(spark):
     docs = spark.range(40000).select(
         F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("source")
@@ -43,10 +60,12 @@ def test_order_is_shuffled_and_repeatable(spark):
 
 def test_odd_rows_and_plan(spark):
     docs = clashing(odd_docs(spark))
+    for name in ("source_", "steps_", "times_", "__n", "__u", "rate", "upto"):
+        docs = docs.withColumn(name, F.lit("taken"))
     out = mixing.mix(docs, epochs=5.0)
     assert out.columns == [*docs.columns, "copy_no", "mix_key", "mix_rate"]
     rows = out.collect()
-    assert any(r["source"] is None for r in rows) and {r["k"] for r in rows} == {"taken"}
+    assert any(r["source"] is None for r in rows) and {r[c] for r in rows for c in ("k", "steps_", "times_", "__n", "source_")} == {"taken"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
     assert mixing.mix(no_docs(spark)).count() == 0

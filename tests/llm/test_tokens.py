@@ -136,3 +136,21 @@ def test_chunks_keep_every_row(monkeypatch):
         ids, ends = encoder.encode_array(c.column(1), np.array([1], "<u4").tobytes())
         want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in c.column(1).to_pylist()]
         assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+
+
+def test_files_with_other_rules_go_through_the_library_alone(spark):
+    path = tokenizer_file("byte_bpe_50k.json")
+    texts = ["Hello World", "", " two  blanks\n", "É日本 it's", "x" * 50]
+    found = tokens_out.Encoder(path).encode(texts)
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens_out.token_output(docs, path).collect()} == {k: len(f) // 4 + 1 for k, f in enumerate(found)}
+
+
+def test_memories_end_with_the_task(spark):
+    encoder = tokens_out.Encoder(tokenizer_file("word_bpe_49k.json"))
+    encoder.encode(["some words here, and there"])
+    assert encoder.by_parts and encoder.words.young
+    encoder.forget()
+    assert not encoder.words.young and not encoder.parts.old
