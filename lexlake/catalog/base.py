@@ -128,7 +128,7 @@ class Tables:
 
     @property
     def v_answer_targets(self) -> DataFrame:
-        return self.part.where(F.col("p_partkey") % 10 == 0).select("p_brand", F.col("p_name").alias("target")).distinct()
+        return self.part.select("p_brand", F.col("p_name").alias("target")).distinct()
 
     @property
     def v_gen(self) -> DataFrame:
@@ -185,7 +185,7 @@ select doc_id, text, n_chars, (doc_id * 37) % greatest(n_chars, 1) as st,
 select p_partkey, p_brand, case when p_partkey % 5 = 0 then concat(' ', upper(p_name), ' assistant')
        when p_partkey % 7 = 0 then concat('une ', p_name) when p_partkey % 11 = 0 then null else p_name end as answer
 from part"""),
-    "v_answer_targets": ((), "select distinct p_brand, p_name as target from part where p_partkey % 10 = 0"),
+    "v_answer_targets": ((), "select distinct p_brand, p_name as target from part"),
     "v_gen": ((), """
 select doc_id, quality, case doc_id % 8 when 0 then ' 1. ' when 1 then '0 or 1' when 2 then 'label: 0' when 3 then '10'
         when 4 then '' when 5 then 'the answer is 1, sure' when 6 then 'oui' else '0' end as gen_text,

@@ -203,13 +203,10 @@ def filter_elements_query(t: Tables) -> DataFrame:
 
 @query("list_length", with_views("v_groups") + "select group_id, n_targets from v_groups")
 def list_length(t: Tables) -> DataFrame:
-    from lexlake.operators.keyed import sorted_sets
-
+    """Sizes of the target sets: the distinct targets are counted, no set is built."""
     keys = ["name", "pos", "lf"]
-    lists = sorted_sets(t.v_rel, keys, "target", "targets")
-    return lists.withColumn("group_id", joins.group_key(*keys)).select(
-        "group_id", arrays.list_len(F.col("targets")).alias("n_targets")
-    )
+    sizes = t.v_targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_targets"))
+    return sizes.select(joins.group_key(*keys).alias("group_id"), "n_targets")
 
 
 @query("group_key", with_views("v_groups") + "select concat(lf, '||', name) as k, count(*) as n from v_groups group by 1")

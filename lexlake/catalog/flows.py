@@ -128,11 +128,8 @@ select lf, k, s, round(avg(em), 6) as "EM_mean", round(avg(cm), 6) as "CM_mean"
 )
 def judged_answers(t: Tables) -> DataFrame:
     """Grid, answers of a caller-given model, exact and contain match, means per condition."""
-    lists = sorted_sets(
-        t.v_rel.select(F.concat_ws("||", "name", "pos", "lf").alias("group_id"), F.lower("target").alias("target")),
-        ["group_id"], "target", "targets",
-    )
-    items = prompt_items(t).join(lists, "group_id").withColumnRenamed("lf", "lexical_function")
+    targets = t.v_targets.select(F.concat_ws("||", "name", "pos", "lf").alias("group_id"), F.lower("target").alias("target"))
+    items = prompt_items(t).withColumnRenamed("lf", "lexical_function")
     templates = t.v_patterns.withColumnRenamed("lf", "lexical_function")
 
     def load():
@@ -142,7 +139,7 @@ def judged_answers(t: Tables) -> DataFrame:
 
         return answer
 
-    results = judge.judged(items, templates, load, "echo")
+    results = judge.judged(items, templates, load, "echo", targets)
     results = results.withColumnRenamed("lexical_function", "lf")
     means = metric_means(results, ["lf", "k", "s"])
     return means.select("lf", "k", "s", F.round("EM_mean", 6).alias("EM_mean"), F.round("CM_mean", 6).alias("CM_mean"))

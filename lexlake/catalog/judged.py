@@ -1,13 +1,12 @@
 """Prompts, matching, label parsing, candidate ranking and model scoring."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.catalog.base import Tables, query, with_views
 from lexlake.functions import match, text
 from lexlake.operators import evaluate, scoring
-from lexlake.operators.keyed import lookup, sorted_sets, spread
-from lexlake.session import written
+from lexlake.operators.keyed import sorted_sets, spread
 
 
 @query(
@@ -39,16 +38,10 @@ def parse_list_query(t: Tables) -> DataFrame:
     return parsed.select("name", "pos", "lf", F.size("l").cast("long").alias("n"), F.array_join("l", "|").alias("targets"))
 
 
-def answers_with_targets(t: Tables) -> DataFrame:
-    lists = sorted_sets(
-        t.v_answer_targets.select("p_brand", F.lower("target").alias("target")), ["p_brand"], "target", "targets"
-    )
-    return lookup(t.v_answers, written(lists, "targets"), ["p_brand"])
-
-
-def per_row(df: DataFrame, *metrics: str) -> DataFrame:
-    """A target list in several parts matches if any part does."""
-    return df.groupBy("p_partkey").agg(*[F.max(m).alias(m) for m in metrics])
+def scored(t: Tables, cleaned: Column) -> DataFrame:
+    """Metrics of the answers, each compared with the targets of its brand as rows."""
+    targets = t.v_answer_targets.select("p_brand", F.lower("target").alias("target"))
+    return evaluate.score_answers(t.v_answers.withColumn("a", cleaned), targets, ["p_brand"], "a")
 
 
 PAIRED = (
@@ -64,8 +57,7 @@ PAIRED = (
 from cleaned c left join v_answer_targets t on t.p_brand = c.p_brand group by c.p_partkey""",
 )
 def exact_match_query(t: Tables) -> DataFrame:
-    rows = answers_with_targets(t)
-    return per_row(rows.withColumn("em", match.exact_match(F.col("answer"), F.col("targets"))), "em")
+    return scored(t, F.lower(text.strip(F.col("answer")))).select("p_partkey", F.col("EM").alias("em"))
 
 
 @query(
@@ -74,8 +66,7 @@ def exact_match_query(t: Tables) -> DataFrame:
 from cleaned c left join v_answer_targets t on t.p_brand = c.p_brand group by c.p_partkey""",
 )
 def contain_match_query(t: Tables) -> DataFrame:
-    rows = answers_with_targets(t)
-    return per_row(rows.withColumn("cm", match.contain_match(F.col("answer"), F.col("targets"))), "cm")
+    return scored(t, F.lower("answer")).select("p_partkey", F.col("CM").alias("cm"))
 
 
 @query("clean_answer", PAIRED + "select p_partkey, a as cleaned from cleaned")
@@ -92,7 +83,7 @@ def clean_answer_query(t: Tables) -> DataFrame:
 from cleaned c left join v_answer_targets t on t.p_brand = c.p_brand group by c.p_partkey""",
 )
 def recompute_metrics_query(t: Tables) -> DataFrame:
-    return per_row(evaluate.recompute_metrics(answers_with_targets(t)), "EM", "CM", "WM")
+    return scored(t, text.clean_answer(F.col("answer"))).select("p_partkey", "EM", "CM", "WM")
 
 
 @query(

@@ -1,10 +1,10 @@
-"""Text expressions. All of them stay in the JVM, except ``decode_all_entities``."""
+"""Text expressions. All of them stay in the JVM."""
 
 from __future__ import annotations
 
-import html as _html
+import re
+from html.entities import html5 as _html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,24 +16,6 @@ BLANKS = (
 )
 BLANK = r"(?U)[\s\x1c-\x1f]"
 
-# The named character references that are decoded natively.
-# The ampersand is decoded last and therefore kept apart.
-ENTITIES = {
-    "nbsp": "\xa0", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
-    "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
-    "laquo": "«", "raquo": "»", "lsaquo": "‹", "rsaquo": "›",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "sbquo": "‚", "bdquo": "„",
-    "ndash": "–", "mdash": "—", "deg": "°", "euro": "€", "sect": "§", "para": "¶",
-    "agrave": "à", "acirc": "â", "auml": "ä", "aelig": "æ", "ccedil": "ç",
-    "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "icirc": "î", "iuml": "ï",
-    "ocirc": "ô", "ouml": "ö", "oelig": "œ", "ugrave": "ù", "ucirc": "û", "uuml": "ü",
-    "yuml": "ÿ", "ntilde": "ñ", "szlig": "ß",
-    "Agrave": "À", "Acirc": "Â", "Auml": "Ä", "AElig": "Æ", "Ccedil": "Ç",
-    "Egrave": "È", "Eacute": "É", "Ecirc": "Ê", "Euml": "Ë", "Icirc": "Î", "Iuml": "Ï",
-    "Ocirc": "Ô", "Ouml": "Ö", "OElig": "Œ", "Ugrave": "Ù", "Ucirc": "Û", "Uuml": "Ü",
-    "times": "×", "divide": "÷", "plusmn": "±", "frac12": "½", "shy": "\xad",
-}
-
 _UNSEEN = (
     r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<![a-z][^>]*>|<\?[^>]*>"
     r"|<(script|style|template)\b[^>]*>.*?</\1\s*>"
@@ -95,55 +77,99 @@ def _character(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
 
 
-def decode_entities(col: Column) -> Column:
-    """Decode numeric references and the common named ones."""
-    out = col
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    numeric = F.array_distinct(F.regexp_extract_all(out, F.lit(r"(&#(?:[0-9]+|[xX][0-9a-fA-F]+);?)"), F.lit(1)))
-    digits = lambda e: F.regexp_replace(F.lower(F.regexp_extract(e, r"&#(\w+)", 1)), r"^(x?)0+(?=.)", "$1")
-    # A number of more digits than any character has stands for none.
-    number = lambda d: F.when(
-        F.length(d) > 8, F.lit(-1)
-    ).when(d.startswith("x"), F.conv(F.substring(d, 2, 10), 16, 10).cast("int")).otherwise(F.conv(d, 10, 10).cast("int"))
-    char = lambda e: _character(number(digits(e)))
-    with_numbers = F.when(
-        F.contains(out, F.lit("&#")),
-        F.aggregate(numeric, out, lambda acc, e: F.replace(acc, e, char(e))),
-    ).otherwise(out)
-    decoded = F.replace(with_numbers, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
+def _names(with_semicolon: bool) -> Column:
+    """Map of the named references of the HTML standard, with or without a closing semicolon, as one literal."""
+    known = {n: c for n, c in _html5.items() if n.endswith(";") == with_semicolon}
+    return F.str_to_map(F.lit("\x02".join(f"{n}\x01{c}" for n, c in known.items())), F.lit("\x02"), F.lit("\x01"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def decode_all_entities(parts: pd.Series) -> pd.Series:
-    """Every named reference of the HTML standard, for texts that use rare ones."""
-    return parts.map(lambda p: None if p is None else [_html.unescape(x) for x in p])
+def _numbered(reference: Column) -> Column:
+    digits = F.regexp_replace(F.lower(F.regexp_extract(reference, r"#(\w+)", 1)), r"^(x?)0+(?=.)", "$1")
+    # A number of more digits than any character has stands for none.
+    code = F.when(F.length(digits) > 8, F.lit(-1)).when(
+        digits.startswith("x"), F.conv(F.substring(digits, 2, 10), 16, 10).cast("int")
+    ).otherwise(F.conv(digits, 10, 10).cast("int"))
+    return _character(code)
 
 
-def html_to_text(col: Column, rare_entities: bool = False) -> Column:
+def decode_entities(col: Column) -> Column:
+    """Decode numeric references and all named ones of the HTML standard, the old ones without a semicolon as well.
+
+    The text is walked once, from ampersand to ampersand. A name in letters and digits that a semicolon closes is looked up as a whole; if
+    there is none, the longest old name that the text goes on with is taken. What is no reference stays.
+    """
+    closed, old = _names(True), _names(False)
+    sizes = sorted({len(n) for n in _html5 if not n.endswith(";")}, reverse=True)
+    rest = lambda piece, n: F.substring(piece, n + 1, F.length(piece))
+
+    def decoded(piece: Column) -> Column:
+        number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        name = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]*;", 0)
+        whole = F.when(name != "", F.try_element_at(closed, name))
+        begun = [F.concat(F.try_element_at(old, F.substring(piece, 1, n)), rest(piece, F.lit(n))) for n in sizes]
+        return (
+            F.when(number != "", F.concat(_numbered(number), rest(piece, F.length(number))))
+            .when(whole.isNotNull(), F.concat(whole, rest(piece, F.length(name))))
+            .otherwise(F.coalesce(*begun, F.concat(F.lit("&"), piece)))
+        )
+
+    pieces = F.split(col, "&")
+    after = F.transform(F.slice(pieces, 2, F.size(pieces)), decoded)
+    return F.when(F.contains(col, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(after, ""))).otherwise(col)
+
+
+def html_to_text(col: Column) -> Column:
     """Text nodes, each stripped, the empty ones dropped, joined by a space."""
     pieces = F.split(F.regexp_replace(col, _UNSEEN, "<x>"), _TAG)
-    if rare_entities:
-        decoded = F.transform(decode_all_entities(pieces), strip)
-    else:
-        decoded = F.transform(pieces, lambda x: strip(decode_entities(x)))
+    decoded = F.transform(pieces, lambda x: strip(decode_entities(x)))
     return F.array_join(F.filter(decoded, lambda x: x != ""), " ")
 
 
+# What a piece of markup begins with: a tag of the element wanted or of the one around it, opened, empty or closed.
+_OPEN, _EMPTY, _CLOSE, _OPEN_PARENT, _CLOSE_PARENT = range(1, 6)
+
+
 def extract_elements(col: Column, parent: str, tag: str) -> Column:
-    """Texts of the ``tag`` elements under ``parent`` elements; null if there are none."""
+    """Texts of the ``tag`` elements under ``parent`` elements, by their start tags; null if there are none.
+
+    Elements may lie inside each other at any depth. The markup is cut at the tags of both names, and these are counted through with a
+    stack: a closing tag ends the last open element of its name and whatever is still open inside it, the end of the text ends all;
+    a closing tag without an open element is passed over. The text of an element is all text inside it.
+    """
     clean = F.regexp_replace(col, r"(?s)<!--.*?-->", "")
-    blocks = F.regexp_extract_all(
-        clean, F.lit(rf"(?s)<{parent}\b[^>]*>(.*?)</{parent}\s*>"), F.lit(1)
-    )
-    inner = lambda b: F.regexp_extract_all(
-        b, F.lit(rf"(?s)<{tag}\b(?:[^>]*/>|[^>]*>(.*?)</{tag}\s*>)"), F.lit(1)
-    )
-    texts = F.transform(
-        F.flatten(F.transform(blocks, inner)),
-        lambda x: squeeze(decode_entities(F.regexp_replace(x, _TAG, ""))),
+    name = lambda n: rf"{re.escape(n)}(?![\w:.-])"
+    pieces = F.split(clean, rf"(?=</?(?:{name(parent)}|{name(tag)}))")
+    begins = lambda p, pattern: F.regexp_like(p, F.lit(rf"(?s)^{pattern}"))
+    inside = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+
+    def kind(p: Column) -> Column:
+        found = F.when(begins(p, f"</{name(tag)}"), _CLOSE).when(begins(p, f"</{name(parent)}"), _CLOSE_PARENT)
+        found = found.when(begins(p, f"<{name(tag)}{inside}/>"), _EMPTY).when(begins(p, f"<{name(tag)}"), _OPEN)
+        return found.when(begins(p, f"<{name(parent)}{inside}/>"), 0).when(begins(p, f"<{name(parent)}"), _OPEN_PARENT).otherwise(0)
+
+    marks = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("at"), kind(p).alias("kind"))), lambda m: m["kind"] > 0)
+    nothing = F.expr("named_struct('stack', cast(array() as array<struct<parent:boolean,at:int,under:boolean>>), 'out', cast(array() as array<struct<at:int,upto:int>>))")
+    ended = lambda open_, upto: F.transform(
+        F.filter(open_, lambda e: ~e["parent"] & e["under"]), lambda e: F.struct(e["at"].alias("at"), upto.alias("upto"))
     )
+
+    def step(acc: Column, mark: Column) -> Column:
+        stack, out, at, what = acc["stack"], acc["out"], mark["at"], mark["kind"]
+        under = F.exists(stack, lambda e: e["parent"])
+        own = F.array(F.struct((what == _OPEN_PARENT).alias("parent"), at.alias("at"), under.alias("under")))
+        # From the top of the stack: where the last element of that name is; 0 for none.
+        depth = F.array_position(F.reverse(F.transform(stack, lambda e: e["parent"])), what == _CLOSE_PARENT).cast("int")
+        below = F.size(stack) - depth
+        closes = what.isin(_CLOSE, _CLOSE_PARENT)
+        top = F.slice(stack, below + 1, depth)
+        next_stack = F.when(what.isin(_OPEN, _OPEN_PARENT), F.concat(stack, own)).when(closes & (depth > 0), F.slice(stack, 1, below)).otherwise(stack)
+        empty = F.array(F.struct(at.alias("at"), at.alias("upto")))
+        next_out = F.when((what == _EMPTY) & under, F.concat(out, empty)).when(closes & (depth > 0), F.concat(out, ended(top, at))).otherwise(out)
+        return F.struct(next_stack.alias("stack"), next_out.alias("out"))
+
+    spans = F.aggregate(marks, nothing, step, lambda acc: F.array_sort(F.concat(acc["out"], ended(acc["stack"], F.size(pieces)))))
+    inner = lambda s: F.array_join(F.slice(pieces, s["at"] + 1, s["upto"] - s["at"]), "")
+    texts = F.transform(spans, lambda s: squeeze(decode_entities(F.regexp_replace(inner(s), _TAG, ""))))
     return F.when(F.size(texts) > 0, texts)
 
 

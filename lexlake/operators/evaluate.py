@@ -59,6 +59,26 @@ def recompute_metrics(df: DataFrame, targets: str = "targets") -> DataFrame:
     )
 
 
+def score_answers(rows: DataFrame, targets: DataFrame, on: list[str], answer: str, target: str = "target") -> DataFrame:
+    """``rows`` with EM, CM and WM of ``answer`` against the ``target`` rows of its keys, without a list per key.
+
+    Each distinct answer of a key meets its targets once, and the best of the pairs is taken before the shuffle; rows look their answer up. A
+    whole word is also a part, so only pairs that contain each other are looked at for one. A null answer, and keys without
+    targets, have null metrics. Null keys have no targets.
+    """
+    a, t = F.col("a_"), F.col("t_")
+    keyed = [F.col(f"`{k}`").alias(f"k{i}_") for i, k in enumerate(on)]
+    names = [f"k{i}_" for i in range(len(on))]
+    asked = rows.select(*keyed, F.col(f"`{answer}`").alias("a_")).where("a_ IS NOT NULL").distinct()
+    wanted = targets.select(*keyed, F.col(f"`{target}`").alias("t_")).where("t_ IS NOT NULL").distinct()
+    part = F.contains(a, t)
+    word = part & F.regexp_like(a, F.concat(F.lit(r"(?U)\b\Q"), t, F.lit(r"\E\b")))
+    best = asked.join(wanted, names).groupBy(*names, "a_").agg(*[F.max(c.cast("int")).alias(n) for n, c in (("EM", a == t), ("CM", part), ("WM", word))])
+    same = [rows[f"`{k}`"] == best[f"k{i}_"] for i, k in enumerate(on)] + [rows[f"`{answer}`"] == best["a_"]]
+    found = rows.join(best, same, "left")
+    return found.select(*[rows[f"`{c}`"] for c in rows.columns], *[best[m] for m in ("EM", "CM", "WM")])
+
+
 def condition_text(k: Column, s: Column) -> Column:
     bit = lambda c: F.when(c, F.lit("1")).otherwise(F.lit("0"))
     return F.concat(F.lit("k="), bit(k), F.lit(", s="), bit(s))

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.functions.text import first_answer
-from lexlake.operators.evaluate import prompt_grid, recompute_metrics, render_prompt
+from lexlake.functions.text import clean_answer, first_answer
+from lexlake.operators.evaluate import prompt_grid, recompute_metrics, render_prompt, score_answers
 from lexlake.operators.report import markdown_rows, score_matrix
 from lexlake.operators.scoring import batch_answer
+from lexlake.session import written
 
 
 def prompts(items: DataFrame, templates: DataFrame) -> DataFrame:
@@ -30,11 +31,17 @@ def judged(
     templates: DataFrame,
     load: Callable[[], Callable[[pd.Series], pd.Series]],
     run: str,
+    targets: DataFrame | None = None,
+    key: str = "group_id",
 ) -> DataFrame:
-    """Answers of one model with EM, CM and WM. ``items`` has lower-case ``targets`` lists."""
+    """Answers of one model with EM, CM and WM. Lower-case targets are rows (``key``, ``target``), or lists ``targets`` of ``items``."""
     raw = batch_answer(prompts(items, templates), load)
     answered = raw.withColumn("answer", first_answer(F.col("answer")))
-    return recompute_metrics(answered).withColumn("model", F.lit(run))
+    if targets is None:
+        return recompute_metrics(answered).withColumn("model", F.lit(run))
+    # Written: the model is asked once, the answers are read twice.
+    cleaned = written(answered.withColumn("cleaned", clean_answer(F.col("answer"))), "answers")
+    return score_answers(cleaned, targets, [key], "cleaned").drop("cleaned").withColumn("model", F.lit(run))
 
 
 def report(results: DataFrame, runs: Sequence[str], metric: str = "CM") -> DataFrame:

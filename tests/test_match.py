@@ -89,3 +89,26 @@ def test_macro_differs_from_micro_and_defaults_to_zero(spark):
     assert evaluate.total_macro(scores, "model").first()["macro"] == 0.5
     failed = spark.createDataFrame([("x", "t1", None)], "model string, task string, score double")
     assert evaluate.total_macro(failed, "model").first()["macro"] == 0.0
+
+
+def test_answers_against_target_rows(spark):
+    import re
+
+    from lexlake.operators.evaluate import score_answers
+
+    answers = [(1, "k", "red fox"), (2, "k", "fox"), (3, "k", None), (4, "none", "fox"), (5, None, "fox"), (6, "k", "foxes"), (7, "m", "a.b"), (2, "k", "fox"), (8, "k", "")]
+    targets = [("k", "fox"), ("k", "owl"), ("k", "fox"), ("k", None), (None, "fox"), ("m", "a.b"), ("m", "")]
+    rows = spark.createDataFrame(answers, "id int, a_ string, text string")
+    done = score_answers(rows, spark.createDataFrame(targets, "a_ string, target string"), ["a_"], "text")
+    assert done.columns == ["id", "a_", "text", "EM", "CM", "WM"]
+
+    def plain(key, answer):
+        mine = [t for k, t in targets if k == key and k is not None and t is not None]
+        if answer is None or not mine:
+            return None, None, None
+        return tuple(int(any(test(t) for t in mine)) for test in (lambda t: t == answer, lambda t: t in answer, lambda t: re.search(rf"\b{re.escape(t)}\b", answer)))
+
+    got = sorted((r["id"], r["EM"], r["CM"], r["WM"]) for r in done.collect())
+    assert got == sorted((i, *plain(k, x)) for i, k, x in answers)
+    plan = done._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan

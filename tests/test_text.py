@@ -46,7 +46,7 @@ def test_html_to_text(spark):
 
 
 def test_rare_entities_use_the_full_table(spark):
-    got = run(spark, lambda c: text.html_to_text(c, rare_entities=True), ["<i>&alefsym;</i> &amp;", None])
+    got = run(spark, lambda c: text.html_to_text(c), ["<i>&alefsym;</i> &amp;", None])
     assert got == ["ℵ &", None]
 
 
@@ -137,3 +137,57 @@ def test_numeric_references_never_fail(one):
     }
     for text, want in cases.items():
         assert one({"t": text}, decode_entities(F.col("t")), "t string") == want, text
+
+
+def test_references_as_the_standard_has_them(spark):
+    import html
+
+    texts = [
+        "&rarr; &sup2; &eacute x &notit; &notin; &not; &amp;lt; &ampx; &AMP &alefsym; &NotEqualTilde; & &; &# &#x; &#65 &#x41;b &copy&reg;",
+        "&acE; a&b=c&gt &gtx &unknown; &eacutes; &frac123; plain", "no reference", "&", "&amp", "&&&amp;&", "",
+    ]
+    texts += ["".join(f"&{n}" for n in chunk) for chunk in (list(html.entities.html5)[k : k + 40] for k in range(0, 2200, 200))]
+    assert run(spark, text.decode_entities, [*texts, None]) == [*[html.unescape(t) for t in texts], None]
+
+
+class _Reader:
+    """Elements by a plain stack, as a lenient parser keeps one."""
+
+    def __new__(cls, markup, parent, tag):
+        import re
+
+        tokens = re.findall(rf"""</?(?:{parent}|{tag})(?![\w:.-])(?:[^>"']|"[^"]*"|'[^']*')*>|<[^>]*>|[^<]+""", re.sub(r"(?s)<!--.*?-->", "", markup))
+        stack, found = [], []
+        for t in tokens:
+            name = re.match(r"</?([\w:.-]+)", t)
+            name = name and name[1]
+            if not t.startswith("<"):
+                for e in stack:
+                    e[1].append(t)
+            elif name not in (parent, tag):
+                continue
+            elif t.startswith("</"):
+                if any(e[0] == name for e in stack):
+                    while stack.pop()[0] != name:
+                        pass
+            else:
+                entry = (name, [])
+                if name == tag and any(e[0] == parent for e in stack):
+                    found.append(entry[1])
+                if not t.endswith("/>"):
+                    stack.append(entry)
+        return [" ".join("".join(x).split()) for x in found] or None
+
+
+def test_elements_inside_each_other(spark):
+    import random
+
+    cases = [
+        "<p><t>a<t>b</t>c</t></p><t>out</t>", "<p><p><t>x</t></p><t>y</t></p>", "<p><t>a<t>b</p><t>c</t>", "<p><t/><t k='>'>q</t></t><t>r", "<p/><t>a</t>",
+        "<p><tt>no</tt><t>yes</t></p>", "<t><p>z<t>i</t></p></t>", "<p><i>a <t>b <b>c</b></t></i></p>", "</p></t>", "",
+    ]
+    rng = random.Random(8)
+    tokens = ["<p>", "</p>", "<t>", "</t>", "<t/>", "<t a='1'>", "<b>", "</b>", "one ", "two "]
+    cases += ["".join(rng.choice(tokens) for _ in range(rng.randrange(30))) for _ in range(200)]
+    got = run(spark, lambda c: text.extract_elements(c, "p", "t"), cases)
+    assert got == [_Reader(c, "p", "t") for c in cases]
