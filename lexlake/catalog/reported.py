@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.catalog.base import Tables, query, with_views
-from lexlake.catalog.scanned import MODELS
 from lexlake.functions import text
 from lexlake.operators import evaluate, report
 from lexlake.session import scratch_path
@@ -66,8 +65,9 @@ def match_headers(t: Tables) -> DataFrame:
     "heat_matrix",
     with_views("v_eval")
     + """, scores as (select task_name, model, avg(is_correct) as score from v_eval group by all)
-, heads as (select w.model, min_by(concat('src', i), i) as head from (select distinct model from v_eval) w join range(20) r(i)
-  on contains(concat('src', i), w.model) or contains(w.model, concat('src', i)) group by w.model)
+, names as (select distinct model from v_eval)
+, heads as (select w.model, min_by(h.model, lpad(cast(length(h.model) as varchar), 6, '0') || h.model) as head from names w join names h
+  on contains(h.model, w.model) or contains(w.model, h.model) group by w.model)
 select t.task_name as row_name, m.model as wanted, coalesce(round_even(s.score * 100, 2), 0.0) as value
 from (select distinct task_name from v_eval) t cross join heads m
 left join scores s on s.task_name = t.task_name and s.model = m.head""",
@@ -77,40 +77,40 @@ def heat_matrix(t: Tables) -> DataFrame:
     rows = t.v_eval
     scores = evaluate.task_scores(rows, "model", "task_name", "is_correct")
     path = scratch_path(t.spark, "heat")
+    models = report.run_names(scores, "model")
     markup.write_markdown(
-        report.markdown_rows(report.score_matrix(scores, "task_name", "model", MODELS), "task_name", MODELS), path
+        report.markdown_rows(report.score_matrix(scores, "task_name", "model", models), "task_name", models), path
     )
     wanted = rows.select(F.col("model").alias("wanted")).distinct()
     cells = report.heat_cells(markup.read_markdown_table(t.spark, path), wanted, "wanted")
     return cells.select("row_name", "wanted", "value")
 
 
-COLUMNS_SQL = ", ".join(f"round(max(case when model = '{m}' then score end), 6) as {m}" for m in MODELS)
-
-
 @query(
     "score_matrix",
     with_views("v_eval")
-    + f", scores as (select task_name, model, avg(is_correct) as score from v_eval group by all) select task_name, {COLUMNS_SQL} from scores group by task_name",
+    + ", scores as (select task_name, model, round(avg(is_correct), 6) as score from v_eval group by all) pivot scores on model using first(score) group by task_name",
 )
 def score_matrix(t: Tables) -> DataFrame:
     scores = evaluate.task_scores(t.v_eval, "model", "task_name", "is_correct")
-    matrix = report.score_matrix(scores, "task_name", "model", MODELS)
-    return matrix.select("task_name", *[F.round(m, 6).alias(m) for m in MODELS])
+    models = report.run_names(scores, "model")
+    matrix = report.score_matrix(scores, "task_name", "model", models)
+    return matrix.select("task_name", *[F.round(F.col(f"`{m}`"), 6).alias(m) for m in models])
 
 
 @query(
     "merge_scores",
     with_views("v_eval")
     + """, computed as (select model, task_name, avg(is_correct) as score from v_eval where task_name <> 'de' group by all),
-recorded as (select model, lang as task_name, avg(n_chars % 2) as score from (select source as model, lang, n_chars from documents where doc_id % 4 = 0) group by all)
+recorded as (select model, lang as task_name, avg(n_chars % 2) as score from (select source as model, lang, n_chars from documents where lang <> 'fr') group by all)
 select coalesce(r.model, c.model) as model, coalesce(r.task_name, c.task_name) as task_name, round(coalesce(r.score, c.score), 6) as score,
   case when r.score is not null then 'recorded' else 'computed' end as origin
 from recorded r full join computed c on c.model = r.model and c.task_name = r.task_name""",
 )
 def merge_scores(t: Tables) -> DataFrame:
     computed = evaluate.task_scores(t.v_eval.where("task_name <> 'de'"), "model", "task_name", "is_correct")
-    docs = t.documents.where("doc_id % 4 = 0").select(
+    # Each side lacks a task that the other has.
+    docs = t.documents.where("lang <> 'fr'").select(
         F.col("source").alias("model"), F.col("lang").alias("task_name"), (F.col("n_chars") % 2).alias("hit")
     )
     recorded = evaluate.task_scores(docs, "model", "task_name", "hit")

@@ -6,16 +6,13 @@ from pyspark.sql import functions as F
 from lexlake.catalog.base import Tables, query, with_views
 from lexlake.operators.evaluate import task_scores
 from lexlake.operators.joins import corpus_filter, duplicate_content, require_columns
-from lexlake.operators.report import markdown_rows, score_maps, score_matrix, scores_long
+from lexlake.operators.report import markdown_rows, run_names, score_maps, score_matrix, scores_long
 from lexlake.operators.sampling import seeded_hash
 from lexlake.functions.text import parse_percent, strip
 from lexlake.session import scratch_path
 from lexlake.sources import files, markup
 from lexlake.streaming.corpus import streamed_corpus
 
-MODELS = [f"src{i}" for i in range(20)]
-
-
 @query("scan_delimited", "select n_nationkey, n_name, n_regionkey from nation")
 def scan_delimited(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "delimited")
@@ -136,17 +133,18 @@ def split_write_counts(t: Tables) -> DataFrame:
     + """, scores as (select task_name, model, avg(is_correct) as score from v_eval group by all)
 select task_name, count(*) as cells, count(score) as filled, round(sum(score), 6) as total from (
   select t.task_name, m.model, s.score from (select distinct task_name from v_eval) t
-  cross join (select concat('src', i) as model from range(20) r(i)) m
+  cross join (select distinct model from v_eval) m
   left join scores s on s.task_name = t.task_name and s.model = m.model) group by task_name""",
 )
 def markdown_rows_query(t: Tables) -> DataFrame:
     """The table is written as Markdown lines, parsed again, and summed per task."""
     scores = task_scores(t.v_eval, "model", "task_name", "is_correct")
+    models = run_names(scores, "model")
     lines = markdown_rows(
-        score_matrix(scores, "task_name", "model", MODELS), "task_name", MODELS, digits=10
+        score_matrix(scores, "task_name", "model", models), "task_name", models, digits=10
     ).where(F.col("section") == 2)
     cells = F.transform(F.split("line", r"\|"), strip)
-    values = F.slice(F.filter(cells, lambda c: c != ""), 2, len(MODELS))
+    values = F.slice(F.filter(cells, lambda c: c != ""), 2, len(models))
     total = F.aggregate(values, F.lit(0.0), lambda acc, c: acc + parse_percent(c) / 100)
     return lines.select(
         F.col("sort_key").alias("task_name"),
@@ -161,19 +159,20 @@ def markdown_rows_query(t: Tables) -> DataFrame:
     with_views("v_eval")
     + """, scores as (select task_name, model, avg(is_correct) as score from v_eval group by all)
 select t.task_name, m.model, round(s.score, 6) as score from (select distinct task_name from v_eval) t
-  cross join (select concat('src', i) as model from range(20) r(i)) m
+  cross join (select distinct model from v_eval) m
   left join scores s on s.task_name = t.task_name and s.model = m.model""",
 )
 def markdown_round_trip(t: Tables) -> DataFrame:
     """Pivot, Markdown document on disk, and back to one row per cell."""
     scores = task_scores(t.v_eval, "model", "task_name", "is_correct")
-    matrix = score_matrix(scores, "task_name", "model", MODELS)
+    models = run_names(scores, "model")
+    matrix = score_matrix(scores, "task_name", "model", models)
     path = scratch_path(t.spark, "report")
-    markup.write_markdown(markdown_rows(matrix, "task_name", MODELS, digits=10), path)
+    markup.write_markdown(markdown_rows(matrix, "task_name", models, digits=10), path)
     table = markup.read_markdown_table(t.spark, path)
     named = table.select(
         F.replace(F.get("cells", F.lit(0)), F.lit("**"), F.lit("")).alias("task_name"),
-        F.inline(F.arrays_zip(F.slice("headers", 2, 100).alias("model"), F.slice("cells", 2, 100).alias("cell"))),
+        F.inline(F.arrays_zip(F.slice("headers", 2, F.size("headers")).alias("model"), F.slice("cells", 2, F.size("cells")).alias("cell"))),
     )
     value = F.when(F.col("cell") != "-", parse_percent(F.col("cell")) / 100)
     return named.select("task_name", "model", F.round(value, 6).alias("score"))

@@ -27,6 +27,11 @@ def order_models(totals: DataFrame, run: str, value: str) -> DataFrame:
     return totals.withColumn("place", F.row_number().over(order))
 
 
+def run_names(scores: DataFrame, run: str) -> list[str]:
+    """The runs of a score table, shorter names first: as many as the report has columns."""
+    return [r[run] for r in scores.where(F.col(run).isNotNull()).select(run).distinct().orderBy(F.length(run), run).collect()]
+
+
 def score_matrix(scores: DataFrame, task: str, run: str, runs: Sequence[str]) -> DataFrame:
     """Tasks x runs; a missing combination is null. The runs are named, so no extra job."""
     return scores.groupBy(task).pivot(run, list(runs)).agg(F.avg("score"))
