@@ -24,6 +24,8 @@ END_ID = 1
 CACHE_WORDS = 500_000
 CACHE_PARTS = 100_000
 CACHE_CHARS = 40
+# What a worker keeps of these beyond a task at most; some 30 MB.
+KEPT_ENTRIES = 150_000
 # Parts that go through the library in one call, and bytes of text that are taken apart at a time.
 TOGETHER = 5000
 CHUNK_BYTES = 8 << 20
@@ -88,9 +90,11 @@ class Encoder:
         # Only these rules allow taking texts apart here; under any others the library gets whole texts.
         self.by_parts = (rules["normalizer"], rules["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
 
-    def forget(self) -> None:
-        self.parts.forget()
-        self.words.forget()
+    def forget(self, words: int = 0) -> None:
+        """Empty the memories if they hold more than so many entries."""
+        if sum(len(m.young) + len(m.old) for m in (self.words, self.parts)) > words:
+            self.parts.forget()
+            self.words.forget()
 
     def _by_library(self, parts: list[str]) -> list[bytes]:
         encode = self.tokenizer.encode_batch_fast
@@ -187,8 +191,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_
         try:
             yield from encoded(batches, part, _ENCODERS[tokenizer])
         finally:
-            # Spark uses a worker again for other work.
-            _ENCODERS[tokenizer].forget()
+            # Spark uses a worker again for other work, so it is left with little.
+            _ENCODERS[tokenizer].forget(KEPT_ENTRIES)
 
     def encoded(batches: Iterator[pa.RecordBatch], part: int, encoder: Encoder) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
