@@ -209,3 +209,16 @@ def with_views(*names: str) -> str:
     for name in names:
         add(name)
     return "with " + ",\n".join(f"{n} as ({VIEWS[n][1]})" for n in ordered) + "\n"
+
+
+def split_sql(rows: str) -> str:
+    """CTE ``cuts`` (lf, train, upto): the sizes of train, and of train and val, per stratum of ``rows`` at 80/10/10."""
+    tie = "md5(concat('42|', lf))"
+    return f"""sz as (select lf, cast(count(*) as hugeint) as n from {rows} group by lf),
+sz1 as (select *, cast(sum(n) over () as hugeint) as total from sz),
+sz2 as (select *, total - cast(ceil(cast(total as double) * (1 - 0.8::double)) as hugeint) as d from sz1),
+sz3 as (select *, n * d // total as whole, n * d % total as rem from sz2),
+sz4 as (select lf, total - d as rest, whole + case when row_number() over (order by rem desc, {tie}) <= d - sum(whole) over () then 1 else 0 end as train, n from sz3),
+sz5 as (select *, n - train as m, rest - cast(ceil(cast(rest as double) * 0.5) as hugeint) as d from sz4),
+sz6 as (select *, case when rest = 0 then 0 else m * d // rest end as whole, case when rest = 0 then 0 else m * d % rest end as rem from sz5),
+cuts as (select lf, train, train + whole + case when row_number() over (order by rem desc, {tie}) <= d - sum(whole) over () then 1 else 0 end as upto from sz6)"""

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.catalog.base import Tables, query, with_views
+from lexlake.catalog.base import Tables, query, split_sql, with_views
 from lexlake.catalog.cleaned import nodes_with_lists
 from lexlake.catalog.judged import GRID_SQL, prompt_items
 from lexlake.functions.arrays import list_len
@@ -46,10 +46,12 @@ trimmed as (select lf, least(quota, l) + case when quota > l and rn > over_n - s
 taken as (select g.* from (select *, row_number() over (partition by lf order by md5(concat('42|', group_id))) as place from v_groups) g
   join trimmed t on t.lf = g.lf where place <= quota),
 names as (select name, row_number() over (order by md5(concat('42|', name))) as i, count(*) over () as n from (select distinct name from taken)),
-held as (select t.*, names.i <= round_even(names.n * 0.2, 0) as held from taken t join names on names.name = t.name),
-seen as (select *, row_number() over (partition by lf order by md5(concat('42|', group_id))) as i, count(*) over (partition by lf) as n from held where not held),
-labelled as (select group_id, name, pos, lf, first_node, case when i <= round_even(n * 0.8, 0) then 'train'
-  when i <= round_even(n * 0.8, 0) + round_even((n - round_even(n * 0.8, 0)) * 0.5, 0) then 'val' else 'test' end as split from seen
+held as (select t.*, names.i <= ceil(names.n * 0.2::double) as held from taken t join names on names.name = t.name),
+pool as (select * from held where not held),
+"""
+    + split_sql("pool")
+    + """, seen as (select *, row_number() over (partition by lf order by md5(concat('42|', group_id))) as i from pool),
+labelled as (select group_id, name, pos, s.lf, first_node, case when i <= train then 'train' when i <= upto then 'val' else 'test' end as split from seen s join cuts on cuts.lf = s.lf
   union all select group_id, name, pos, lf, first_node, 'unseen' from held where held),
 targets as (select name, pos, lf, string_agg(target, '|' order by md5(concat('42|', target))) as targets from (select distinct name, pos, lf, target from items) group by all)
 select l.group_id, l.split, md5(s.example) as example_md5, t.targets from labelled l

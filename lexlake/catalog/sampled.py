@@ -124,7 +124,7 @@ def permute_list(t: Tables) -> DataFrame:
 
 
 HELD = """, names as (select name, row_number() over (order by md5(concat('42|', name))) as r, count(*) over () as n from (select distinct name from v_groups)),
-held as (select g.*, names.r <= round_even(names.n * 0.2, 0) as held from v_groups g join names on names.name = g.name)
+held as (select g.*, names.r <= ceil(names.n * 0.2::double) as held from v_groups g join names on names.name = g.name)
 """
 
 

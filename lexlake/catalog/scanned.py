@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.catalog.base import Tables, query, with_views
+from lexlake.catalog.base import Tables, query, split_sql, with_views
 from lexlake.operators.evaluate import task_scores
 from lexlake.operators.joins import corpus_filter, duplicate_content, require_columns
 from lexlake.operators.report import markdown_rows, run_names, score_maps, score_matrix, scores_long
@@ -108,10 +108,9 @@ def duplicate_content_query(t: Tables) -> DataFrame:
     return duplicate_content(t.documents, "doc_id", "text").select("doc_id", "first_id", "content_md5")
 
 
-LABELLED = """, groups as (select *, row_number() over (partition by lf order by md5(concat('42|', group_id))) as r,
-  count(*) over (partition by lf) as n from v_groups),
-labelled as (select *, case when r <= round_even(n * 0.8, 0) then 'train'
-  when r <= round_even(n * 0.8, 0) + round_even((n - round_even(n * 0.8, 0)) * 0.5, 0) then 'val' else 'test' end as split from groups)
+LABELLED = f""", {split_sql("v_groups")},
+groups as (select *, row_number() over (partition by lf order by md5(concat('42|', group_id))) as r from v_groups),
+labelled as (select g.*, case when r <= train then 'train' when r <= upto then 'val' else 'test' end as split from groups g join cuts using (lf))
 """
 
 

@@ -5,11 +5,13 @@ each run, under any partitioning and after a lost executor. Picking the first
 r rows of a class in that order needs no per-class window over the rows: the
 r-th smallest hash is found from counts per hash prefix (``hash_cuts``), and
 the rows are then filtered by comparing with it. A class that holds a third of
-all rows is therefore never gathered in one task.
+all rows is therefore never gathered in one task. The first n rows in any other
+order are found alike, from counts between sampled splitters (``first_n``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +21,9 @@ from lexlake.operators.keyed import lookup
 from lexlake.session import written
 
 PREFIX = 4  # hex digits: 65,536 cells per class
-TOP_N = 100_000  # largest sample that one task sorts
-GROUP_LIMIT = 1000  # up to here Spark prunes a row_number filter before the shuffle
+GROUP_LIMIT = 1000  # up to here Spark keeps n rows per task before the shuffle, and a queue of n behind it
+CELL_KEYS = 50_000  # distinct sort keys of one group that one task puts in order
+SAMPLE, STEP = 1024, 16  # sampled keys per group and round; each STEP-th of them is a splitter
 
 
 def seeded_hash(seed: int, *cols: str | Column) -> Column:
@@ -152,37 +155,108 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return df.withColumn("_r", place).where(F.col("_r") == 1).drop("_r")
 
 
+def _before(a: Sequence[Column], b: Sequence[Column], down: Sequence[bool]) -> Column:
+    """True if key ``a`` comes before key ``b``; nulls come first, in descending columns last."""
+    out = F.lit(False)
+    for x, y, desc in reversed(list(zip(a, b, down, strict=True))):
+        null_first, smaller = (y, x > y) if desc else (x, x < y)
+        null_side = null_first.isNull() & (x if desc else y).isNotNull()
+        out = null_side | F.coalesce(smaller, F.lit(False)) | (x.eqNullSafe(y) & out)
+    return out
+
+
+def _order_cuts(slim: DataFrame, n: int, down: Sequence[bool]) -> DataFrame:
+    """For each group (``_k``) of more than ``n`` rows the key (``_o``) of its n-th row, how many rows have that key (``_c``) and how many of them
+    are within the first n (``_keep``).
+
+    An interval that holds the n-th key is cut by splitters from a sample of its distinct keys, rows are counted per cell, and the cell with the n-th
+    row is the next interval, about a sixtieth of the one before. Equal keys are counted before any shuffle, so ties cost nothing.
+    """
+    fields = [f"o{i}" for i in range(len(down))]
+    part = lambda c: [c.getField(f) for f in fields]
+    key = F.col("_o")
+    rows, keys = F.count(F.lit(1)).alias("_m"), F.approx_count_distinct(key.getField(fields[-1])).alias("_d")
+    sizes = slim.groupBy("_k").agg(rows, keys).where(F.col("_m") > n)
+    state = written(sizes.select("_k", "_m", "_d", F.lit(n).cast("long").alias("_left")), "open")
+    inside = lookup(slim, state.select("_k"), ["_k"], how="inner")
+    turn = 0
+    while not (wide := state.where(F.col("_d") > CELL_KEYS)).isEmpty():
+        turn += 1
+        chance = F.pmod(F.xxhash64(key.getField(fields[-1]), F.lit(turn)), F.lit(1 << 31)) < F.lit(float(SAMPLE << 31)) / F.col("_d")
+        sample = lookup(inside, wide.select("_k", "_d"), ["_k"], how="inner").where(chance).select("_k", "_o").distinct()
+        # Bounded window: some SAMPLE keys per group.
+        place = F.row_number().over(Window.partitionBy("_k").orderBy(*_sorted(part(key), down)))
+        splitters = sample.withColumn("_place", place).where(F.col("_place") % STEP == 0)
+        listed = F.sort_array(F.collect_list(F.struct("_place", "_o"))).alias("_s")
+        cuts = written(splitters.groupBy("_k").agg(listed), "splitters")
+        cell = F.size(F.filter("_s", lambda s: ~_before(part(key), part(s["_o"]), down)))
+        # Groups without splitters, the narrow ones included, are one cell.
+        dealt = lookup(inside, cuts, ["_k"]).withColumn("_cell", F.when(F.col("_s").isNull(), 0).otherwise(cell)).drop("_s")
+        counts = dealt.groupBy("_k", "_cell").agg(rows, keys)
+        # Bounded window: a cell per splitter.
+        upto = F.sum("_m").over(Window.partitionBy("_k").orderBy("_cell"))
+        left = F.col("_left") - F.col("_upto") + F.col("_m")
+        joined = counts.withColumn("_upto", upto).join(state.select("_k", "_left"), "_k")
+        hit = written(joined.where((left > 0) & (F.col("_left") <= F.col("_upto"))).select("_k", "_cell", "_m", "_d", left.alias("_left")), "open")
+        inside = written(lookup(dealt, hit.select("_k", "_cell"), ["_k", "_cell"], how="inner").select("_k", "_o"), "inside")
+        state = hit.drop("_cell")
+    # Bounded window: some CELL_KEYS distinct keys per group.
+    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(*_sorted(part(key), down)))
+    ranked = inside.groupBy("_k", "_o").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto).join(state.select("_k", "_left"), "_k")
+    keep = F.col("_left") - F.col("_upto") + F.col("_c")
+    return written(ranked.where((keep > 0) & (F.col("_left") <= F.col("_upto"))).select("_k", "_o", "_c", keep.alias("_keep")), "order-cuts")
+
+
+def _sorted(cols: Sequence[Column], down: Sequence[bool]) -> list[Column]:
+    return [c.desc() if desc else c.asc() for c, desc in zip(cols, down, strict=True)]
+
+
 def first_n(
-    df: DataFrame, n: int, order: Sequence[str | Column], by: Sequence[str] | None = None
+    df: DataFrame, n: int, order: Sequence[str | tuple[str, bool]], by: Sequence[str] | None = None
 ) -> DataFrame:
-    """The first ``n`` rows in ``order``, overall or per ``by``."""
-    if not by:
-        return df.orderBy(*order).limit(n)
-    if n > GROUP_LIMIT:
-        # Beyond Spark's pruning limit: rank within 64 salts first, keep n of each.
-        salted = df.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-        near = F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order))
-        df = salted.withColumn("_r", near).where(F.col("_r") <= n).drop("_r", "_s")
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_r", place).where(F.col("_r") <= n).drop("_r")
+    """The first ``n`` rows in ``order``, overall (in that order) or per ``by``; null keys are a group.
 
+    ``order`` has column names, or (name, True) for descending ones. Which of several rows with equal order columns are taken is open, but
+    there are exactly n, repeated rows included. Up to ``GROUP_LIMIT`` Spark's own top-n is used. A larger n is
+    a bound per group (``_order_cuts``) with which rows are compared where they are, so no task holds n rows; columns then cannot be maps.
+    """
+    names, down = zip(*[(c, False) if isinstance(c, str) else c for c in order], strict=True)
+    sort = _sorted([F.col(f"`{c}`") for c in names], down)
+    if n <= GROUP_LIMIT:
+        if not by:
+            return df.orderBy(*sort).limit(n)
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*sort))
+        return df.withColumn("_r", place).where(F.col("_r") <= n).drop("_r")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    key = [*[F.col(f"`{c}`") for c in names], F.xxhash64(*own)]
+    down = [*down, False]
+    # A struct is never null, so null keys join as well.
+    keyed = df.withColumn("_k", F.struct(*[F.col(f"`{c}`") for c in by]) if by else F.struct(F.lit(0)))
+    slim = written(keyed.select("_k", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(key)]).alias("_o")), "order-keys")
+    cuts = _order_cuts(slim, n, down)
+    bound = [F.col("_o").getField(f"o{i}") for i in range(len(key))]
+    same = F.lit(True)
+    for x, y in zip(key, bound, strict=True):
+        same = same & x.eqNullSafe(y)
+    met = lookup(keyed, cuts, ["_k"])
+    kept = met.where(F.col("_o").isNull() | _before(key, bound, down) | (same & (F.col("_keep") == F.col("_c")))).select(*own)
+    if not cuts.where("_keep < _c").isEmpty():
+        # Rows with the key of the n-th are repetitions of one: counted, and given back as often as they are wanted.
+        again = met.where(same & (F.col("_keep") < F.col("_c"))).groupBy("_k", *own).agg(F.count(F.lit(1)).alias("_c"), F.first("_keep").alias("_keep"))
+        upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(*own))
+        times = F.least(F.col("_c"), F.col("_keep") - F.col("_upto") + F.col("_c"))
+        again = again.withColumn("_upto", upto).withColumn("_times", times).where("_times > 0")
+        kept = kept.unionByName(again.withColumn("_i", F.explode(F.sequence(F.lit(1), "_times"))).select(*own))
+    return kept if by else kept.orderBy(*sort)
 
-def seeded_sample(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
-    """``n`` rows in seeded random order; all of them if there are fewer.
 
-    A large sample is first cut out by its hash bound, so that the sort is a
-    distributed one instead of a top-n in one task. ``row_id`` is unique.
-    """
-    h = seeded_hash(seed, row_id)
-    if n <= TOP_N:
-        return df.orderBy(h, row_id).limit(n)
-    one_rank = lambda sizes: sizes.select(F.lit(0).alias("cut"), F.lit(n).alias("r"))
-    bound = hash_cuts(df, [], h, one_rank).select("bound").scalar()
-    return df.where(h <= bound).orderBy(h, row_id)
+def seeded_sample(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
+    """``n`` rows in seeded random order; all of them if there are fewer. ``row_id`` is unique."""
+    return first_n(df.withColumn("_h", seeded_hash(seed, row_id)), n, ["_h", row_id]).drop("_h")
 
 
 def holdout_keys(df: DataFrame, key: str, share: float, seed: int, name: str = "held") -> DataFrame:
-    """Mark the rows of a seeded ``share`` of the distinct keys.
+    """Mark the rows of a seeded ``share`` of the distinct keys, a fraction rounded up.
 
     The rows are compared with one hash bound, so neither a join nor a shuffle
     of the rows is needed.
@@ -190,12 +264,32 @@ def holdout_keys(df: DataFrame, key: str, share: float, seed: int, name: str = "
     h = seeded_hash(seed, key)
     keys = df.where(F.col(key).isNotNull()).select(key).distinct()
     part = lambda sizes: sizes.select(
-        F.lit(0).alias("cut"), F.rint(F.col("n") * F.lit(share)).alias("r")
+        F.lit(0).alias("cut"), F.ceil(F.col("n") * F.lit(share)).alias("r")
     )
     bound = hash_cuts(keys, [], h, part).select("bound").scalar()
     return df.withColumn(name, F.coalesce(h <= bound, F.lit(False)))
 
 
+def apportion(sizes: DataFrame, key: str, n: str, draws: int, tie: Column, name: str) -> DataFrame:
+    """Share ``draws`` out over the rows of ``sizes`` (one for each ``key``, none null) in proportion to ``n``, as the whole-numbered column ``name``.
+
+    Each gets the whole part of its share; what is left goes, one each, to the largest remainders, equal ones in the order
+    of ``tie``. The sum is ``draws`` exactly. Shares are exact decimals, and the largest are found by ``first_n``.
+    """
+    total = sizes.agg(F.sum(n)).first()[0]
+    if not total:
+        return sizes.withColumn(name, F.lit(0).cast("long"))
+    share = F.col(n).cast("decimal(19,0)") * F.lit(draws).cast("decimal(19,0)")
+    whole = F.lit(total).cast("decimal(19,0)")
+    rest = share % whole
+    parts = written(sizes.withColumns({"_rest": rest, name: ((share - rest) / whole).cast("long")}), "shares")
+    left = draws - parts.agg(F.sum(name)).first()[0]
+    more = first_n(parts.select(key, "_rest", tie.alias("_tie")), left, [("_rest", True), "_tie"])
+    # One row per key on both sides, so no key is hot.
+    bonus = parts.drop("_rest").join(written(more.select(key, F.lit(1).alias("_more")), "more"), key, "left")
+    return bonus.withColumn(name, F.col(name) + F.coalesce("_more", F.lit(0))).drop("_more")
+
+
 def stratified_split(
     df: DataFrame,
     row_id: str,
@@ -205,21 +299,30 @@ def stratified_split(
     val: float = 0.5,
     name: str = "split",
 ) -> DataFrame:
-    """Label rows train, val or test with exact shares in every stratum; a null stratum is one of its own.
+    """Label rows train, val or test, with exact sizes overall and shares of every stratum within one id of them; a null stratum is one of its own.
 
-    ``train`` is the share of the stratum, ``val`` the share of the rest. One id
-    gives one label, so rows of a group never part.
+    The rest beyond ``train`` is a fraction of all ids rounded up, ``val`` the share of that rest, of which test is
+    rounded up. Strata take part by largest remainders (``apportion``). One id gives one label, so rows of a group never part.
     """
     h = seeded_hash(seed, row_id)
-    head = F.rint(F.col("n") * F.lit(train)).cast("long")
-    mid = head + F.rint((F.col("n") - head) * F.lit(val)).cast("long")
-    two_cuts = F.array(
-        F.struct(F.lit(0).alias("cut"), head.alias("r")), F.struct(F.lit(1).alias("cut"), mid.alias("r"))
-    )
     key = "_stratum"  # a struct is never null, so null strata join as well
     ids = df.select(F.struct(stratum).alias(key), row_id).distinct()
+
+    def ranks(sizes: DataFrame) -> DataFrame:
+        counted = written(sizes, "sizes")
+        total = counted.agg(F.sum("n")).first()[0] or 0
+        rest = math.ceil(total * (1 - train))
+        tie = seeded_hash(seed, F.col(key)[stratum])
+        heads = written(apportion(counted, key, "n", total - rest, tie, "_head"), "heads").withColumn("_other", F.col("n") - F.col("_head"))
+        mids = apportion(heads, key, "_other", rest - math.ceil(rest * (1 - val)), tie, "_mid")
+        two_cuts = F.array(
+            F.struct(F.lit(0).alias("cut"), F.col("_head").alias("r")),
+            F.struct(F.lit(1).alias("cut"), (F.col("_head") + F.col("_mid")).alias("r")),
+        )
+        return mids.select(key, F.inline(two_cuts))
+
     cuts = (
-        hash_cuts(ids, [key], h, lambda sizes: sizes.select(key, F.inline(two_cuts)))
+        hash_cuts(ids, [key], h, ranks)
         .groupBy(key)
         .agg(
             F.max(F.when(F.col("cut") == 0, F.col("bound"))).alias("_b0"),
