@@ -191,6 +191,13 @@ def parse_list(col: Column) -> Column:
     return F.transform(F.coalesce(parsed, F.array(col)), lambda x: F.lower(strip(x)))
 
 
+def list_text(col: Column) -> Column:
+    """An array of strings as the text of a list literal, which ``parse_list`` reads; nulls are left out."""
+    escaped = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    items = F.transform(F.array_compact(col), lambda x: F.concat(F.lit("'"), escaped(x), F.lit("'")))
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
 def clean_answer(col: Column) -> Column:
     """Lower, strip, drop one trailing role word, strip; null becomes empty."""
     base = strip(F.lower(F.coalesce(col, F.lit(""))))
@@ -215,7 +222,7 @@ def clean_run_name(col: Column, suffix: str) -> Column:
 
 def percent_text(col: Column, digits: int, missing: str = "-") -> Column:
     """Share as percent text; a tie of the last digit goes to the even one."""
-    exact = (col * F.lit(100.0)).cast("decimal(24,12)")
+    exact = (col * F.lit(100.0)).cast("decimal(38,20)")  # all digits of a double from 0.01 on
     text = F.concat(F.bround(exact, digits).cast(f"decimal(24,{digits})").cast("string"), F.lit("%"))
     return F.when(col.isNull(), F.lit(missing)).otherwise(text)
 

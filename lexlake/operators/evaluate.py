@@ -157,15 +157,22 @@ def lift_over_base(totals: DataFrame, run: str, family: Column, is_base: Column,
     )
 
 
-def merge_scores(recorded: DataFrame, computed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scores of two sources; the recorded one wins where both exist."""
-    a = recorded.select(*keys, F.col("score").alias("_a"))
-    b = computed.select(*keys, F.col("score").alias("_b"))
-    return a.join(b, list(keys), "full").select(
-        *keys,
-        F.coalesce("_a", "_b").alias("score"),
-        F.when(F.col("_a").isNotNull(), F.lit("recorded")).otherwise(F.lit("computed")).alias("origin"),
-    )
+def merge_scores(
+    recorded: DataFrame, computed: DataFrame, keys: Sequence[str], relabelled: DataFrame | None = None
+) -> DataFrame:
+    """One score per ``keys`` (the run first) with its origin.
+
+    A run with recorded scores has these and no computed ones, also where one is missing; other runs have the computed
+    ones. Above both, a ``relabelled`` score replaces the one of its keys, or adds it. Null scores are none.
+    """
+    run, keys = keys[0], list(keys)
+    side = lambda df, origin: df.where("score IS NOT NULL").select(*keys, "score", F.lit(origin).alias("origin"))
+    own = side(recorded, "recorded")
+    merged = own.unionByName(side(computed, "computed").join(own.select(run).distinct(), run, "left_anti"))
+    if relabelled is None:
+        return merged
+    over = side(relabelled, "relabelled")
+    return merged.join(over.select(*keys), keys, "left_anti").unionByName(over)
 
 
 def token_f1(df: DataFrame, row_id: str, prediction: str, truth: str) -> DataFrame:

@@ -60,13 +60,13 @@ def frequent_keys(df: DataFrame, col: str, at_least: int) -> DataFrame:
 
 
 def combination_counts(
-    df: DataFrame, item: str, col: str, at_least: int, top: int, joiner: str = " + "
+    df: DataFrame, item: str, col: str, at_least: int, top: int | None = None, joiner: str = " + "
 ) -> DataFrame:
-    """The most frequent combinations of frequent values per item.
+    """The ``top`` most frequent combinations of frequent values per item, or all of them.
 
     A combination is a sorted multiset, kept as (value, times) pairs: an item
     with a huge number of rows still has at most one pair per frequent value.
-    It is written out in full only for the ``top`` rows of the result.
+    It is written out in full only for the rows of the result.
     """
     keep = written(frequent_keys(df, col, at_least).select(col), "keys")
     pairs = df.where(F.col(item).isNotNull()).groupBy(item, col).agg(F.count(F.lit(1)).alias("times"))
@@ -82,7 +82,8 @@ def combination_counts(
     written_out = F.array_join(
         F.flatten(F.transform("combo", lambda p: F.array_repeat(p["v"], p["times"].cast("int")))), joiner
     )
-    return top_k(counts, top, "compact", "combo").select(written_out.alias("combination"), "n")
+    best = counts if top is None else top_k(counts, top, "compact", "combo")
+    return best.select(written_out.alias("combination"), "n")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

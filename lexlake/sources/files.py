@@ -120,13 +120,13 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_name(path: Column) -> Column:
-    """Run a file belongs to: its stem, or for Spark part files the stem of their folder."""
+    """Run a file belongs to: its stem, or for Spark part files the stem of their folder (of ``name=value`` the value)."""
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
     segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
-    owner = F.when(
-        F.startswith(last, F.lit("part-")),
-        F.regexp_replace(F.url_decode(F.element_at(segments, -2)), r"^[^=]+=", ""),
-    ).otherwise(F.url_decode(last))
+    last, folder = F.element_at(segments, -1), plain(F.element_at(segments, -2))
+    # Spark escapes values in folder names once more.
+    value = F.when(folder.contains("="), plain(F.regexp_replace(folder, r"^[^=]+=", ""))).otherwise(folder)
+    owner = F.when(F.startswith(last, F.lit("part-")), value).otherwise(plain(last))
     return F.regexp_replace(owner, r"\.(csv|json|jsonl|parquet)$", "")
 
 
@@ -154,17 +154,42 @@ def read_runs(spark: SparkSession, paths: str, schema: T.StructType | str, fmt:
 
 
 def read_summaries(spark: SparkSession, paths: str) -> DataFrame:
-    """Run summary documents: name, date, total, task counts and the score map."""
+    """Run summary documents: name, date, total, task counts, the score map, and the run they belong to (``run_name``)."""
     # Field names of a run summary.
     summary = "struct<total_tasks:int,completed_tasks:int,failed_tasks:int>"
     schema = (
         "model_name string, model_path string, evaluation_date string, cole_score double, "
         f"summary {summary}, task_scores map<string,double>"
     )
-    df = spark.read.option("multiLine", "true").schema(schema).json(paths)
+    df = spark.read.option("multiLine", "true").schema(schema).json(paths).select("*", run_name(F.col("_metadata.file_path")).alias("run"))
     return df.withColumn("evaluation_date", F.try_to_timestamp("evaluation_date"))
 
 
+def read_task_errors(spark: SparkSession, paths: str) -> DataFrame:
+    """(run, model_name, task_name, error) of the tasks that failed in each run summary."""
+    # Field names of a run summary.
+    schema = "model_name string, tasks_metrics array<map<string,struct<error:string>>>"
+    df = spark.read.option("multiLine", "true").schema(schema).json(paths)
+    tasks = df.select(run_name(F.col("_metadata.file_path")).alias("run"), "model_name", F.explode("tasks_metrics").alias("_m"))
+    found = tasks.select("run", "model_name", F.explode("_m").alias("task_name", "_v"))
+    return found.select("run", "model_name", "task_name", F.col("_v.error").alias("error")).where("error IS NOT NULL")
+
+
+def read_task_predictions(spark: SparkSession, paths: str) -> DataFrame:
+    """(run, model_name, task_name, pos, prediction) of each run summary; ``pos`` counts a task's predictions from 0. A failed task has none."""
+    # Field names of a run summary.
+    schema = "model_name string, tasks_predictions array<map<string,array<string>>>"
+    df = spark.read.option("multiLine", "true").schema(schema).json(paths)
+    tasks = df.select(run_name(F.col("_metadata.file_path")).alias("run"), "model_name", F.explode("tasks_predictions").alias("_p"))
+    lists = tasks.select("run", "model_name", F.explode("_p").alias("task_name", "_l"))
+    return lists.select("run", "model_name", "task_name", F.posexplode("_l").alias("pos", "prediction"))
+
+
+def write_results(df: DataFrame, path: str, run: str = "run") -> None:
+    """Result rows as delimited files, a folder per run, that ``read_runs`` reads back with the run."""
+    df.write.partitionBy(run).options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
 def file_hashes(spark: SparkSession, paths: str) -> DataFrame:
     """(name, content) of files, to find copies with ``duplicate_content``."""
     raw = spark.read.format("binaryFile").load(paths)
