@@ -92,14 +92,15 @@ def _numbered(reference: Column) -> Column:
     return _character(code)
 
 
-def decode_entities(col: Column) -> Column:
+def decode_entities(col: Column, unclosed: bool = True) -> Column:
     """Decode numeric references and all named ones of the HTML standard, the old ones without a semicolon as well.
 
     The text is walked once, from ampersand to ampersand. A name in letters and digits that a semicolon closes is looked up as a whole; if
-    there is none, the longest old name that the text goes on with is taken. What is no reference stays.
+    there is none, the longest old name that the text goes on with is taken. What is no reference stays. With ``unclosed`` false,
+    names without a semicolon stay as they are.
     """
     closed, old = _names(True), _names(False)
-    sizes = sorted({len(n) for n in _html5 if not n.endswith(";")}, reverse=True)
+    sizes = sorted({len(n) for n in _html5 if not n.endswith(";")}, reverse=True) if unclosed else []
     rest = lambda piece, n: F.substring(piece, n + 1, F.length(piece))
 
     def decoded(piece: Column) -> Column:
@@ -118,10 +119,10 @@ def decode_entities(col: Column) -> Column:
     return F.when(F.contains(col, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(after, ""))).otherwise(col)
 
 
-def html_to_text(col: Column) -> Column:
-    """Text nodes, each stripped, the empty ones dropped, joined by a space."""
+def html_to_text(col: Column, unclosed: bool = True) -> Column:
+    """Text nodes, each stripped, the empty ones dropped, joined by a space; ``unclosed`` as in ``decode_entities``."""
     pieces = F.split(F.regexp_replace(col, _UNSEEN, "<x>"), _TAG)
-    decoded = F.transform(pieces, lambda x: strip(decode_entities(x)))
+    decoded = F.transform(pieces, lambda x: strip(decode_entities(x, unclosed)))
     return F.array_join(F.filter(decoded, lambda x: x != ""), " ")
 
 

@@ -50,6 +50,21 @@ def test_rare_entities_use_the_full_table(spark):
     assert got == ["ℵ &", None]
 
 
+def test_html_query_leaves_unclosed_references_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from lexlake.catalog import REGISTRY
+
+    pages = [(1, "<title>a &amp;&amp</title><p>&copy b &amp; &quot;c&quot;</p>"), (2, "<p>x &ampy</p>"), (3, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    entry = REGISTRY["html_to_text"]
+    with duckdb.connect() as con:
+        con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.execute(entry.sql).fetchall()
+    assert sorted(tuple(r) for r in entry.run(spark, str(tmp_path)).select("page_id", "text_md5", "n_text").collect()) == sorted(want)
+    assert run(spark, text.html_to_text, [p[1] for p in pages[:2]]) == ["a && © b & \"c\"", "x &y"]
+
+
 def test_extract_elements(spark):
     xml = [
         "<df><actantpos><tc>$1 <m>est</m>\n un</tc><tc/><tc a='1'>$2 &amp; x</tc></actantpos><tc>no</tc></df>",
