@@ -39,7 +39,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return digest(line, SEED)
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(line[a:b], SEED) for a, b in spans], np.uint64)
+    return majority(np.array([digest(line[a:b], SEED) for a, b in spans], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -68,6 +68,40 @@ def test_chains_families_and_pairs_against_brute_force(spark):
     assert got == brute_heads(rows)
 
 
+def counted_pairs(spark, monkeypatch, texts):
+    """Rows of all lists of pairs that are compared, and the texts kept."""
+    counts, written = [], n.written
+
+    def record(df, label):
+        out = written(df, label)
+        counts.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(n, "written", record)
+    rows = list(enumerate(texts))
+    got = sorted(r["doc_id"] for r in n.drop_near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_heads(rows)
+    return sum(counts)
+
+
+def test_pairs_of_an_unlike_family_grow_with_its_size(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"f{i}" for i in range(100)]
+    family = [edited(rng, base, 3) for _ in range(240)]  # pairs of it have similarities of about 0.55 to 0.75
+    small = counted_pairs(spark, monkeypatch, family[:120])
+    assert counted_pairs(spark, monkeypatch, family) <= 2.6 * small
+
+
+def test_fingerprints_in_the_gray_index_link_first(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"g{i}" for i in range(2000)]
+    texts = [" ".join(base), " ".join(base).upper() + "  \n", edited(rng, base, 1), " ".join(f"h{i}" for i in range(50)), ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as text")
+    codes = n._sketches(rows, n.SHINGLE).selectExpr("doc_id as least", "node", "fp", "keys", "bits").where("doc_id <> 1")
+    pairs = n._fingerprint_pairs(codes).collect()
+    assert {frozenset(p) for p in pairs} == {frozenset(np.array([n.node_of(texts[i].encode()) for i in (0, 2)], np.uint64).view(np.int64).tolist())}
+
+
 def test_sketch_keeps_pairs_at_the_bound():
     rng = np.random.default_rng(1)
     shared = bands = 0
