@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexlake.operators import keyed
 from lexlake.operators.keyed import fits, lookup, spread
 from lexlake.session import written
 
@@ -105,8 +106,8 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
 
     Only (token, class) pairs that exist are joined; a pair that does not is the
     class's constant for unseen tokens, added by token count. A vocabulary that
-    can be broadcast is met in the scan, and the sums per row combine there; a
-    larger one is joined with common tokens spread (see ``lookup``). Gives the
+    can be broadcast is met in the scan, and the sums per row combine there; of a
+    larger one, the commonest tokens are (see ``_met``). Gives the
     best class and its score; the smallest label on ties.
     """
     model = written(model, "unigrams")
@@ -142,11 +143,28 @@ def corpus_log_prob(rows: DataFrame, row_id: str, text: str, model: DataFrame, l
     )
 
 
-def _combined(counted: DataFrame, row_id: str, gains: DataFrame) -> DataFrame:
-    """Repeated tokens of a row as one, if the join with ``gains`` will be a shuffle."""
-    if fits(gains):
-        return counted
-    return written(counted.groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("n")), "row-tokens")
+def _met(counted: DataFrame, gains: DataFrame, rows: int | None = None) -> DataFrame:
+    """``counted`` with the columns of the written ``gains`` (``token``, ``total``, ...), null where there is no such token.
+
+    Gains that are too many to be broadcast are cut by ``total``: as many of the commonest as may be broadcast are met in the scan, where the sums
+    per row combine, and only the tokens that are rare in the model are shuffled.
+    """
+    if fits(gains, rows):
+        return counted.join(F.broadcast(gains), "token", "left")
+    bound = keyed.BROADCAST_ROWS if rows is None else rows
+    # Totals by their number of binary digits: 64 rows at most.
+    steps = {r["d"]: r["c"] for r in gains.groupBy(_digits().alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    least, held = max(steps) + 1, 0
+    while held + steps.get(least - 1, 0) <= bound:
+        least, held = least - 1, held + steps.get(least - 1, 0)
+    common = written(gains.where(_digits() >= least), "common")
+    rare = written(counted.join(F.broadcast(common.select("token")), "token", "left_anti"), "rare")
+    near = counted.join(F.broadcast(common), "token")
+    return near.unionByName(lookup(rare, gains.where(_digits() < least), ["token"], rows=rows))
+
+
+def _digits() -> Column:
+    return F.length(F.bin("total"))
 
 
 def _wide_sums(counted: DataFrame, row_id: str, model: DataFrame, label: str, labels: list) -> DataFrame:
@@ -154,10 +172,9 @@ def _wide_sums(counted: DataFrame, row_id: str, model: DataFrame, label: str, la
     value = lambda x: F.when(F.col(label) == x, F.log(F.col("n") + 1.0))
     columns = {f"_g{i}": x for i, x in enumerate(labels)}
     gains = written(
-        model.groupBy("token").agg(*[F.max(value(x)).alias(c) for c, x in columns.items()]), "gains"
+        model.groupBy("token").agg(F.sum("n").alias("total"), *[F.max(value(x)).alias(c) for c, x in columns.items()]), "gains"
     )
-    joined = lookup(_combined(counted, row_id, gains), gains, ["token"])
-    sums = joined.groupBy(row_id).agg(
+    sums = _met(counted, gains).groupBy(row_id).agg(
         F.sum("n").alias("n_tokens"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in columns]
     )
     pairs = [p for c, x in columns.items() for p in (F.lit(x), F.col(c))]
@@ -167,10 +184,10 @@ def _wide_sums(counted: DataFrame, row_id: str, model: DataFrame, label: str, la
 def _long_sums(counted: DataFrame, row_id: str, model: DataFrame, label: str, labels: list) -> DataFrame:
     """The same for many classes, a row per class while summing."""
     gain = F.struct(F.col(label).alias("label"), F.log(F.col("n") + 1.0).alias("gain"))
-    gains = written(model.groupBy("token").agg(F.collect_list(gain).alias("gains")), "gains")
+    gains = written(model.groupBy("token").agg(F.sum("n").alias("total"), F.collect_list(gain).alias("gains")), "gains")
     # The entry without a label carries the token count of the row.
     size = F.array(F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("gain")))
-    parts = lookup(_combined(counted, row_id, gains), gains, ["token"], rows=LONG_ROWS).select(
+    parts = _met(counted, gains, LONG_ROWS).select(
         row_id, "n", F.inline(F.concat(size, F.coalesce("gains", F.array())))
     )
     per_class = parts.groupBy(row_id, "label").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))

@@ -64,6 +64,24 @@ def test_corpus_log_prob_by_broadcast_and_by_shuffle(spark, monkeypatch, bound,
     assert got == plain_log_prob(texts, labels)
 
 
+def test_only_rare_tokens_are_written_per_row(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "BROADCAST_ROWS", 8)
+    rows, written = [], scoring.written
+
+    def record(frame, label):
+        out = written(frame, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(scoring, "written", record)
+    texts = ["of the und " * 5 + "".join(chr(97 + (i // 26**k) % 26) for k in range(3)) + "x" for i in range(200)]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "i int, text string, lang string")
+    scored = scoring.corpus_log_prob(df, "i", "text", scoring.unigram_model(df, "lang", "text"), "lang")
+    got = [(r["prediction"], round(r["score"], 6)) for r in scored.orderBy("i").collect()]
+    assert got == plain_log_prob(texts, ["en" if i % 2 else "de" for i in range(200)])
+    assert max(rows) <= 206  # the model; a row per text and token would be 800
+
+
 def test_model_is_loaded_once_per_task(spark):
     df = spark.range(0, 1000, 1, 4).select("id", F.col("id").cast("string").alias("prompt"))
 
