@@ -20,6 +20,10 @@ from lexlake.session import written
 # Characters of a line up to which it is looked at as a document of its own.
 LINE_CHARS = 64 << 20
 
+# Rows and, a single row aside, bytes that a task gets at a time.
+BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
+
 WHOLE, HEAD, TAIL, MARK = "whole", "head", "tail", "mark"
 _PART = "file string, block long, kind string, first boolean, top string, text string"
 _NAMES = ["file", "block", "kind", "first", "top", "text"]
@@ -76,6 +80,9 @@ def _joined(parts: DataFrame, glue: str, keep: Callable[[DataFrame], DataFrame]
 
 
 def _map(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes: a piece is as long as a text, so rows alone bound nothing."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(work, schema)
 
 
@@ -285,7 +292,7 @@ def envelope_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     pieces = blocks_of(spark, path, "}")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out, inn, line, by_line, count, size = None, (False, 0), (True, 0), "", False, 0, 0
+        now, out, inn, line, held, by_line, count, size = None, (False, 0), (True, 0), [], 0, False, 0, 0
 
         def row() -> pa.RecordBatch:
             values = {"file": now[0], "block": now[1], "size": size, "out_in": out[0], "out_d": out[1], "in_in": inn[0], "in_d": inn[1], "by_line": by_line, "bytes": count}
@@ -294,9 +301,9 @@ def envelope_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         for file, block, (length,), values in _runs(batches):
             if now != (file, block):
                 if now is not None:
-                    by_line = by_line or _is_document(line)
+                    by_line = by_line or _is_document("".join(line))
                     yield row()
-                now, out, inn, line, by_line, count, size = (file, block), (False, 0), (True, 0), "", False, 0, length
+                now, out, inn, line, held, by_line, count, size = (file, block), (False, 0), (True, 0), [], 0, False, 0, length
             text = "}".join(values) + "}"
             count += len(text.encode("utf-8", "surrogatepass"))
             for k, start in enumerate((out, inn)):
@@ -306,11 +313,17 @@ def envelope_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 else:
                     inn = (inside, start[1] + more)
             if not by_line:
-                *whole, line = (line + text).split("\n")
-                by_line = any(_is_document(x) for x in whole)
-                line = line if len(line) <= LINE_CHARS else ""
+                *whole, last = text.split("\n")
+                if whole:
+                    by_line = _is_document("".join([*line, whole[0]])) or any(_is_document(x) for x in whole[1:])
+                    line, held = [], 0
+                if not by_line:
+                    line.append(last)
+                    held += len(last)
+                    if held > LINE_CHARS:
+                        line, held = [], 0
         if now is not None:
-            by_line = by_line or _is_document(line)
+            by_line = by_line or _is_document("".join(line))
             yield row()
 
     schema = "file string, block long, size long, out_in boolean, out_d long, in_in boolean, in_d long, by_line boolean, bytes long"

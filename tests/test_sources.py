@@ -210,3 +210,18 @@ def test_splits_are_written_apart(spark, tmp_path):
     files.write_splits(df, str(tmp_path / "s"))
     assert {p.name for p in (tmp_path / "s").iterdir() if p.is_dir()} == {"split=train", "split=val"}
     assert sorted(tuple(r) for r in files.read_splits(spark, str(tmp_path / "s")).collect()) == [("a", "train"), ("b", "val"), ("c", "train")]
+
+
+def test_block_readers_get_batches_bounded_in_rows_and_bytes(spark):
+    from lexlake.sources import splits
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    import pyarrow as pa
+
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', if(id < 2000, 10000, 10)) as value")
+    got = splits._map(texts, sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 4000
+    assert max(r["n"] for r in got) <= 1000 and max(r["bytes"] for r in got) <= 3 << 20
