@@ -15,7 +15,6 @@ from lexlake.operators.keyed import sorted_sets
 from lexlake.operators.profile import filter_elements, frequent_keys, list_keys
 from lexlake.operators.sampling import (
     class_quotas,
-    first_per_key,
     holdout_keys,
     stratified_split,
     stratified_take,
@@ -37,7 +36,7 @@ class CurationSettings:
 
 
 def curated_items(records: DataFrame, order: str, settings: CurationSettings) -> DataFrame:
-    """Rows (name, POS, relation, target, example) of the frequent relations.
+    """Rows (``order``, name, POS, relation, target) of the frequent relations.
 
     Records without a frequent relation or without an example drop out.
     """
@@ -47,16 +46,23 @@ def curated_items(records: DataFrame, order: str, settings: CurationSettings) ->
     keep = frequent_keys(found, "lexical_function", settings.at_least).select("lexical_function")
     kept = filter_elements(records, "lf_dict", "lexical_function", keep, [order])
     kept = kept.where((list_len(F.col("lf_dict")) > 0) & (list_len(F.col("examples")) > 0))
+    return flatten_relations(kept.select(order, "name", "POS", "lf_dict"), "lf_dict", "lexical_function", "target")
+
+
+def with_examples(groups: DataFrame, records: DataFrame, order: str) -> DataFrame:
+    """The groups with the best example of their record ``order`` in place of that column. Only these records are cut."""
+    kept = records.where(list_len(F.col("examples")) > 0).join(groups.select(order).distinct(), order, "left_semi")
     best = best_element(F.col("examples"), "position")
-    short = kept.select(
-        order, "name", "POS", "lf_dict", kwic(best["text"], best["occurrence"]).alias("example")
-    )
-    return flatten_relations(short, "lf_dict", "lexical_function", "target")
+    cut = kept.select(order, "name", "POS", kwic(best["text"], best["occurrence"]).alias("example"))
+    # A repeated record gives one example.
+    one = cut.groupBy(order, "name", "POS").agg(F.min("example").alias("example"))
+    found = groups.join(one, [order, "name", "POS"], "left")
+    return found.select(*KEYS, "example", *[c for c in groups.columns if c not in (order, *KEYS)])
 
 
 def build_groups(items: DataFrame, order: str, settings: CurationSettings) -> DataFrame:
-    """One row per (name, POS, relation) with the example first seen; null keys drop out."""
-    first = first_per_key(items.dropna(subset=list(KEYS)), KEYS, [order]).select(*KEYS, "example")
+    """One row per (name, POS, relation) with the record first seen; null keys drop out."""
+    first = items.dropna(subset=list(KEYS)).groupBy(*KEYS).agg(F.min(order).alias(order))
     return drop_listed(first, "lexical_function", settings.excluded).withColumn(
         "group_id", group_key(*KEYS)
     )
@@ -82,13 +88,14 @@ def split_groups(groups: DataFrame, settings: CurationSettings) -> DataFrame:
 def curate(records: DataFrame, order: str, settings: CurationSettings | None = None) -> DataFrame:
     """Records to labelled groups with their permuted target lists.
 
-    Sampling and splitting work on the slim group rows; targets are gathered
-    only for the groups that were taken.
+    Sampling and splitting work on the slim group rows; examples and targets are
+    gathered only for the groups that were taken.
     """
     settings = settings or CurationSettings()
     items = written(curated_items(records, order, settings), "items")
     groups = written(build_groups(items, order, settings), "groups")
-    labelled = written(split_groups(balanced_groups(groups, settings), settings), "labelled")
+    taken = written(split_groups(balanced_groups(groups, settings), settings), "taken")
+    labelled = written(with_examples(taken, records, order), "labelled")
     wanted = items.join(labelled.select(*KEYS), list(KEYS), "left_semi")
     targets = sorted_sets(wanted, KEYS, "target", "targets")
     return labelled.join(targets, list(KEYS), "left").withColumn(

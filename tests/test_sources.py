@@ -225,3 +225,23 @@ def test_block_readers_get_batches_bounded_in_rows_and_bytes(spark):
     got = splits._map(texts, sizes, "n long, bytes long").collect()
     assert sum(r["n"] for r in got) == 4000
     assert max(r["n"] for r in got) <= 1000 and max(r["bytes"] for r in got) <= 3 << 20
+
+
+def test_curation_writes_no_example_per_relation(spark, monkeypatch):
+    from lexlake.plans import curate
+
+    seen, written = {}, curate.written
+
+    def record(df, label):
+        seen[label] = df.columns
+        return written(df, label)
+
+    monkeypatch.setattr(curate, "written", record)
+    relation = [("R", f"t{k}") for k in range(5)]
+    rows = [(i, f"w{i % 20}", "n", relation, [(f"text of {i}", "(0;4)", 1)]) for i in range(40)] + [(40, "w40", "n", relation, [])]
+    schema = "id long, name string, POS string, lf_dict array<struct<lexical_function:string,target:string>>, examples array<struct<text:string,occurrence:string,position:int>>"
+    settings = curate.CurationSettings(at_least=1, budget=100, floor=1)
+    done = curate.curate(spark.createDataFrame(rows, schema), "id", settings)
+    assert done.columns == ["name", "POS", "lexical_function", "example", "group_id", "split", "targets"]
+    assert {r["name"]: r["example"] for r in done.collect()} == {f"w{i}": f"text of {i}" for i in range(20)}
+    assert "example" not in seen["items"] + seen["groups"]
