@@ -97,10 +97,11 @@ def assembled_nodes(t: Tables) -> DataFrame:
         F.concat(F.lit("n"), "page_id").alias("node"), F.lit("<p>x</p>").alias("def_HTML"),
         F.regexp_replace(F.regexp_replace("html", r"<(/?)ul\b", "<$1actantpos"), r"<(/?)li\b", "<$1tc").alias("def_XML"),
     )
-    edges = t.v_edges.select(
+    linked = written(t.v_edges.select("node_id", "lf", "ord"), "edges")  # read four times
+    edges = linked.select(
         F.concat(F.lit("n"), "node_id").alias("source"), "lf", F.concat(F.lit("n"), F.col("ord") * 30).alias("target"), F.col("ord").alias("pos")
     )
-    relations = t.v_edges.select("lf").distinct().where("lf <> 'LF_7'").select(
+    relations = linked.select("lf").distinct().where("lf <> 'LF_7'").select(
         F.col("lf").alias("id"), F.concat(F.lit("name "), "lf").alias("name"), F.lit("pa").alias("linktype")
     )
     links = t.documents.select(

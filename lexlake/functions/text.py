@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import html5 as _html5
 
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ def squeeze(col: Column) -> Column:
     return strip(F.regexp_replace(col, f"{BLANK}+", " "))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it; Spark shares nothing inside lambdas."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def normalize_text(col: Column) -> Column:
     """Null becomes the empty text; anything else is stripped."""
     return F.coalesce(strip(col), F.lit(""))
@@ -121,7 +127,8 @@ def decode_entities(col: Column, unclosed: bool = True) -> Column:
 
 def html_to_text(col: Column, unclosed: bool = True) -> Column:
     """Text nodes, each stripped, the empty ones dropped, joined by a space; ``unclosed`` as in ``decode_entities``."""
-    pieces = F.split(F.regexp_replace(col, _UNSEEN, "<x>"), _TAG)
+    # Text without an angle bracket, the most of a corpus, is one piece and needs no pattern.
+    pieces = F.when(~F.contains(col, F.lit("<")), F.array(col)).otherwise(F.split(F.regexp_replace(col, _UNSEEN, "<x>"), _TAG))
     decoded = F.transform(pieces, lambda x: strip(decode_entities(x, unclosed)))
     return F.array_join(F.filter(decoded, lambda x: x != ""), " ")
 
@@ -139,7 +146,7 @@ def extract_elements(col: Column, parent: str, tag: str) -> Column:
     """
     clean = F.regexp_replace(col, r"(?s)<!--.*?-->", "")
     name = lambda n: rf"{re.escape(n)}(?![\w:.-])"
-    pieces = F.split(clean, rf"(?=</?(?:{name(parent)}|{name(tag)}))")
+    cut = rf"(?=</?(?:{name(parent)}|{name(tag)}))"
     begins = lambda p, pattern: F.regexp_like(p, F.lit(rf"(?s)^{pattern}"))
     inside = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 
@@ -148,7 +155,6 @@ def extract_elements(col: Column, parent: str, tag: str) -> Column:
         found = found.when(begins(p, f"<{name(tag)}{inside}/>"), _EMPTY).when(begins(p, f"<{name(tag)}"), _OPEN)
         return found.when(begins(p, f"<{name(parent)}{inside}/>"), 0).when(begins(p, f"<{name(parent)}"), _OPEN_PARENT).otherwise(0)
 
-    marks = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("at"), kind(p).alias("kind"))), lambda m: m["kind"] > 0)
     nothing = F.expr("named_struct('stack', cast(array() as array<struct<parent:boolean,at:int,under:boolean>>), 'out', cast(array() as array<struct<at:int,upto:int>>))")
     ended = lambda open_, upto: F.transform(
         F.filter(open_, lambda e: ~e["parent"] & e["under"]), lambda e: F.struct(e["at"].alias("at"), upto.alias("upto"))
@@ -158,20 +164,28 @@ def extract_elements(col: Column, parent: str, tag: str) -> Column:
         stack, out, at, what = acc["stack"], acc["out"], mark["at"], mark["kind"]
         under = F.exists(stack, lambda e: e["parent"])
         own = F.array(F.struct((what == _OPEN_PARENT).alias("parent"), at.alias("at"), under.alias("under")))
-        # From the top of the stack: where the last element of that name is; 0 for none.
-        depth = F.array_position(F.reverse(F.transform(stack, lambda e: e["parent"])), what == _CLOSE_PARENT).cast("int")
-        below = F.size(stack) - depth
-        closes = what.isin(_CLOSE, _CLOSE_PARENT)
-        top = F.slice(stack, below + 1, depth)
-        next_stack = F.when(what.isin(_OPEN, _OPEN_PARENT), F.concat(stack, own)).when(closes & (depth > 0), F.slice(stack, 1, below)).otherwise(stack)
         empty = F.array(F.struct(at.alias("at"), at.alias("upto")))
-        next_out = F.when((what == _EMPTY) & under, F.concat(out, empty)).when(closes & (depth > 0), F.concat(out, ended(top, at))).otherwise(out)
-        return F.struct(next_stack.alias("stack"), next_out.alias("out"))
-
-    spans = F.aggregate(marks, nothing, step, lambda acc: F.array_sort(F.concat(acc["out"], ended(acc["stack"], F.size(pieces)))))
-    inner = lambda s: F.array_join(F.slice(pieces, s["at"] + 1, s["upto"] - s["at"]), "")
-    texts = F.transform(spans, lambda s: squeeze(decode_entities(F.regexp_replace(inner(s), _TAG, ""))))
-    return F.when(F.size(texts) > 0, texts)
+        # From the top of the stack: where the last element that this mark closes is; 0 for none.
+        place = F.array_position(F.reverse(F.transform(stack, lambda e: e["parent"])), what == _CLOSE_PARENT).cast("int")
+        closed = F.when(what.isin(_CLOSE, _CLOSE_PARENT), place).otherwise(0)
+
+        def after(depth: Column) -> Column:
+            below = F.size(stack) - depth
+            next_stack = F.when(what.isin(_OPEN, _OPEN_PARENT), F.concat(stack, own)).when(depth > 0, F.slice(stack, 1, below)).otherwise(stack)
+            next_out = F.when((what == _EMPTY) & under, F.concat(out, empty)).when(depth > 0, F.concat(out, ended(F.slice(stack, below + 1, depth), at))).otherwise(out)
+            return F.struct(next_stack.alias("stack"), next_out.alias("out"))
+
+        return once(closed, after)
+
+    def texts(pieces: Column) -> Column:
+        marks = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("at"), kind(p).alias("kind"))), lambda m: m["kind"] > 0)
+        spans = F.aggregate(marks, nothing, step, lambda acc: F.array_sort(F.concat(acc["out"], ended(acc["stack"], F.size(pieces)))))
+        inner = lambda s: F.regexp_replace(F.array_join(F.slice(pieces, s["at"] + 1, s["upto"] - s["at"]), ""), _TAG, "")
+        return F.transform(spans, lambda s: once(inner(s), lambda text: squeeze(decode_entities(text))))
+
+    # No element lies under a parent that never begins.
+    found = once(clean, lambda c: F.when(F.contains(c, F.lit(f"<{parent}")), once(F.split(c, cut), texts)))
+    return once(found, lambda t: F.when(F.size(t) > 0, t))
 
 
 def parse_list(col: Column) -> Column:

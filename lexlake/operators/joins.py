@@ -74,10 +74,14 @@ def last_name_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFr
 def self_lookup(
     df: DataFrame, ref: str, names: DataFrame, key: str, value: str, order: str, name: str
 ) -> DataFrame:
-    """Replace a reference to another row by that row's name; the last definition wins."""
-    dim = last_name_per_key(names, key, value, order).select(
-        F.col(key).alias(ref), F.col(value).alias(name)
-    )
+    """Replace a reference to another row by that row's name; the last definition wins.
+
+    Only names that are referred to go into the lookup, so that a large table of
+    which few rows are targets is still broadcast.
+    """
+    last = last_name_per_key(names, key, value, order)
+    used = df.select(F.col(ref).alias(key)).distinct()
+    dim = last.join(used, key, "left_semi").select(F.col(key).alias(ref), F.col(value).alias(name))
     return lookup(df, written(dim, "names"), [ref])
 
 

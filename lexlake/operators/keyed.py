@@ -99,7 +99,7 @@ def ordered_lists(df: DataFrame, keys: Sequence[str], position: str, value: Colu
     Lists are for results that are lists (node records, chat texts); what is counted or compared should stay in rows.
     """
     packed = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(position).cast("long").alias("_p"), value.alias("_v")))).alias("_l")
+        F.sort_array(F.collect_list(F.struct(F.col(position).cast("long").alias("_p"), value.alias("_v")))).alias("_l")
     )
     return packed.select(*keys, F.transform("_l", lambda x: x["_v"]).alias(name))
 

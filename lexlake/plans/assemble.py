@@ -95,13 +95,12 @@ def assemble(
         clean_definition(html_to_text(F.col("def_HTML"))).alias("definition"),
         extract_elements(F.col("def_XML"), "actantpos", "tc").alias("actants"),
     )
-    lists = relation_lists(edges, named, relations).join(
-        example_lists(links, examples), ["node_id"], "full"
-    )
     return (
         named.join(marks, "node_id", "left")
         .join(described, "node_id", "left")
-        .join(lists, "node_id", "left")
+        # One after the other: a full join of the two would deal all lists and texts out once more.
+        .join(relation_lists(edges, named, relations), "node_id", "left")
+        .join(example_lists(links, examples), "node_id", "left")
         .select(
             "node_id", "entry_id", "name", "lexnum", "POS", "usagenote", "usagenotevars", "definition",
             "actants", "lf_dict",

@@ -34,3 +34,9 @@ def test_entry(spark):
 
 def test_every_catalog_query_has_sql():
     assert set(REGISTRY) <= set(SQL)
+
+
+def test_assembly_derives_its_edges_once(spark):
+    done = REGISTRY["assembled_nodes"].run(spark, FOLDER)
+    assert not [f for f in done.inputFiles() if "lineitem" in f]
+    assert "FullOuter" not in done._jdf.queryExecution().optimizedPlan().toString()

@@ -48,6 +48,21 @@ def test_self_lookup_takes_the_last_definition(spark):
     assert got == {"n1": "new", "n2": "two", "n9": None}
 
 
+def test_self_lookup_takes_only_names_that_are_referred_to(spark, monkeypatch):
+    seen, written = {}, joins.written
+
+    def record(df, label):
+        seen[label] = written(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(joins, "written", record)
+    names = spark.createDataFrame([(f"n{i % 50}", f"w{i}", i) for i in range(100)] + [(None, "none", 200)], "id string, name string, row int")
+    edges = spark.createDataFrame([("n1",), ("n2",), ("n2",), ("n99",), (None,)], "target string")
+    got = sorted((str(r["target"]), r["t"]) for r in joins.self_lookup(edges, "target", names, "id", "name", "row", "t").collect())
+    assert got == [("None", None), ("n1", "w51"), ("n2", "w52"), ("n2", "w52"), ("n99", None)]
+    assert {r["target"] for r in seen["names"].collect()} == {"n1", "n2"}
+
+
 def test_listed_values_go_and_null_stays(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "c string")
     assert {r["c"] for r in joins.drop_listed(df, "c", ["a"]).collect()} == {"b", None}

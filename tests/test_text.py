@@ -206,3 +206,11 @@ def test_elements_inside_each_other(spark):
     cases += ["".join(rng.choice(tokens) for _ in range(rng.randrange(30))) for _ in range(200)]
     got = run(spark, lambda c: text.extract_elements(c, "p", "t"), cases)
     assert got == [_Reader(c, "p", "t") for c in cases]
+
+
+def test_markup_is_cut_once_a_row(spark):
+    df = spark.createDataFrame([("<p><t>a</t><!-- <t>b</t> --><t>c &amp; d</t></p>",)], "c string").select(text.extract_elements(F.col("c"), "p", "t").alias("v"))
+    assert df.collect()[0]["v"] == ["a", "c & d"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("<!--") == 1
+    comment = spark.createDataFrame([("<<!-- x -->p><t>a</t></p>",), ("<t>no parent</t>",)], "c string")
+    assert [r[0] for r in comment.select(text.extract_elements(F.col("c"), "p", "t")).collect()] == [["a"], None]
